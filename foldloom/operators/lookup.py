@@ -1,0 +1,28 @@
+"""Lookup joins whose key may be as skewed as it likes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_ROWS = 1 << 20  # rows of one key from which its rows no longer go to one task
+
+
+def lookup(facts: DataFrame, key: str, table: DataFrame, table_key: str, how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """facts joined ('inner' or 'left') with table, which has one row for each table_key; table_key is dropped.
+
+    Rows of keys held by more than hot_rows rows stay where they are: the table's rows of those keys are broadcast,
+    at most rows / hot_rows of them. All other rows meet theirs in a shuffle, or as Spark decides.
+    """
+    hot = [r[0] for r in facts.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select(key).collect()]
+    hot = [k for k in hot if k is not None]
+    if not hot:
+        return facts.join(table, facts[key] == table[table_key], how).drop(table[table_key])
+    few = table.where(F.col(table_key).isin(hot))
+    cold = facts.where(~F.coalesce(F.col(key).isin(hot), F.lit(False)))
+    heavy = facts.where(F.col(key).isin(hot))
+    return (
+        cold.join(table, cold[key] == table[table_key], how)
+        .drop(table[table_key])
+        .unionByName(heavy.join(F.broadcast(few), heavy[key] == few[table_key], how).drop(few[table_key]))  # <= rows / hot_rows
+    )
