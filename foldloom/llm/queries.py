@@ -1,4 +1,4 @@
-"""The registered queries of problems 2, 3, 7 and 8, with their SQL where SQL can say it."""
+"""The registered queries of problems 2, 3, 7, 8 and 9, with their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from foldloom.functions.keys import accession
 from foldloom.llm.components import group_linked
 from foldloom.llm.cooccurrence import count_pairs
 from foldloom.llm.packing import pack_corpus
+from foldloom.llm.pii import mask_pii
 from foldloom.llm.tokens import encode_corpus
 from foldloom.sources.tables import table
 
@@ -32,6 +33,15 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    cases = mask_pii(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", F.explode("found").alias("x"))
+    return cases.select("doc_id", "x.pii_type", "x.pii_text").distinct()
+
+
+def p9_masked(spark: SparkSession, folder: str) -> DataFrame:
+    return mask_pii(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "masked")
+
+
 _ACC = "nullif(upper(trim(split_part({0}, '.', 1), ' ' || chr(9) || chr(10) || chr(13))), '')"
 
 ORACLES = {
@@ -50,4 +60,4 @@ p as (select x.f as a, y.f as b, count(*) as n_ab from k x join k y on x.i = y.i
 select p.a as family_a, p.b as family_b from p join c ca on ca.f = p.a join c cb on cb.f = p.b cross join n where p.n_ab * n.n >= 20 * ca.n_f * cb.n_f""",
 }
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p7_ids, p8_containers)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p7_ids, p8_containers, p9_found, p9_masked)}
