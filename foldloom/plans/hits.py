@@ -46,9 +46,9 @@ def s08_profile_hit_lines(spark, folder):
     return tx.profile_hits(_lines(spark, folder, line)).drop("line")
 
 
-@query("select hit_id, q as query, t as target, qlo, qhi, tlo, thi, ql, tl, cast(hit_id % 100 as double) as pctid, cast(concat('3e-', hit_id % 120) as double) as evalue, 0.5::double as aq from full_hits where qlo is not null and hit_id % 11 <> 0", _HITS)
+@query("select hit_id, q as query, t as target, qlo, qhi, tlo, thi, ql, tl, cast(hit_id % 100 as double) as pctid, cast(concat('3e-', hit_id % 120) as double) as evalue, 0.5::double as aq from full_hits where evalue is not null and qlo is not null and qhi is not null and tlo is not null and thi is not null and ql is not null and tl is not null", _HITS)
 def s09_structure_hit_lines(spark, folder):
-    line = "concat_ws('\\t', case when hit_id % 11 = 0 then concat('#', q) else q end, t, coalesce(cast(qlo as string), 'x'), qhi, tlo, thi, ql, tl, hit_id % 100, concat('3e-', hit_id % 120), '0.5')"
+    line = "concat_ws('\\t', case when evalue is null then concat('#', q) else q end, t, coalesce(cast(qlo as string), 'x'), coalesce(cast(qhi as string), 'x'), coalesce(cast(tlo as string), 'x'), coalesce(cast(thi as string), 'x'), coalesce(cast(ql as string), 'x'), coalesce(cast(tl as string), 'x'), hit_id % 100, concat('3e-', hit_id % 120), '0.5')"
     return tx.structure_hits(_lines(spark, folder, line)).drop("line")
 
 
@@ -71,9 +71,9 @@ def s11_clan_hits(spark, folder):
     return flagged.where("q_in or t_in").groupBy("q", "t").agg(F.count("*").alias("n"), F.min("evalue").alias("best"))
 
 
-@query("select hit_id, t as target, q as query, cast(concat('4e-', hit_id % 60) as double) as evalue, cast(hit_id % 250 as double) as score, row_number() over (partition by q order by cast(concat('4e-', hit_id % 60) as double), hit_id) as place from full_hits where hit_id % 13 <> 0", _HITS)
+@query("select hit_id, t as target, q as query, cast(concat('4e-', hit_id % 60) as double) as evalue, cast(hit_id % 250 as double) as score, row_number() over (partition by q order by cast(concat('4e-', hit_id % 60) as double), hit_id) as place from full_hits where evalue is not null", _HITS)
 def s12_search_table(spark, folder):
-    line = "case when hit_id % 13 = 0 then concat('# ', t) else concat(t, '   ', q, '  ', '4e-', hit_id % 60, '   ', hit_id % 250, '.0') end"
+    line = "case when evalue is null then concat('# ', t) else concat(t, '   ', q, '  ', '4e-', hit_id % 60, '   ', hit_id % 250, '.0') end"
     rows = tx.table_hits(_lines(spark, folder, line)).drop("line")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("evalue", "hit_id")).cast("bigint"))
 
@@ -195,14 +195,14 @@ def j13_name_by_exact_or_bare_id(spark, folder):
     return rows.select("hit_id", "q", F.coalesce("exact", "by_base", F.lit("UNKNOWN")).alias("target_name"))
 
 
-_NESTED = """nested as (select distinct a.fam as outer_fam, b.fam as inner_fam from fx_pfam a join fx_pfam b on a.acc = b.acc and a.seq_start < b.seq_start and b.seq_end < a.seq_end and a.fam <> b.fam where a.fam % 10 = 0),
-cand as (select distinct least(p1, p2) as a, greatest(p1, p2) as b from fx_links where p1 <> p2 and p2 <= 100 and score >= 700)"""
+_NESTED = """nested as (select distinct a.fam as outer_fam, b.fam as inner_fam from fx_pfam a join fx_pfam b on a.acc = b.acc and a.seq_start < b.seq_start and b.seq_end < a.seq_end and a.fam <> b.fam),
+cand as (select distinct a.fam as a, b.fam as b from fx_pfam a join fx_pfam b on a.acc = b.acc and a.fam < b.fam)"""
 
 
 def _nested(spark, folder):
     from foldloom.operators.intervals import overlap_join
 
-    a = fx.family_regions(spark, folder).where("fam % 10 = 0").selectExpr("acc", "fam as outer_fam", "seq_start as os", "seq_end as oe")
+    a = fx.family_regions(spark, folder).selectExpr("acc", "fam as outer_fam", "seq_start as os", "seq_end as oe")
     b = fx.family_regions(spark, folder).selectExpr("acc", "fam as inner_fam", "seq_start as i_s", "seq_end as i_e")
     inside = overlap_join(a, b, "acc", "os", "oe", "i_s", "i_e").where("os < i_s and i_e < oe and outer_fam <> inner_fam")
     return inside.select("outer_fam", "inner_fam").distinct()
@@ -225,7 +225,8 @@ from cand c left join fx_clan ka on ka.fam = c.a left join fx_clan kb on kb.fam
     _NESTED,
 )
 def j17_pair_truth(spark, folder):
-    pairs = fx.links(spark, folder).where("p1 <> p2 and p2 <= 100 and score >= 700").select(F.least("p1", "p2").alias("a"), F.greatest("p1", "p2").alias("b")).distinct()
+    regions = fx.family_regions(spark, folder).select("acc", "fam").distinct()
+    pairs = regions.withColumnRenamed("fam", "a").join(regions.withColumnRenamed("fam", "b"), "acc").where("a < b").select("a", "b").distinct()
     clans = fx.clans(spark, folder)
     nested = _nested(spark, folder).select(F.least("outer_fam", "inner_fam").alias("a"), F.greatest("outer_fam", "inner_fam").alias("b"), F.lit(True).alias("nests")).distinct()
     rows = pairs.join(clans.select(F.col("fam").alias("a"), F.col("clan_acc").alias("ka")), "a", "left").join(clans.select(F.col("fam").alias("b"), F.col("clan_acc").alias("kb")), "b", "left")
@@ -258,15 +259,15 @@ def s13_scored_links(spark, folder):
     return rows.select("taxid", F.col("protein1").cast("bigint").alias("p1"), F.col("protein2").cast("bigint").alias("p2"), "score")
 
 
-@query("select concat('9606.', s_suppkey) as string_id, array_to_string(list(s_name order by s_name), ',') as names from supplier where s_suppkey % 3 <> 0 group by s_suppkey")
+@query("select concat('9606.', s_suppkey) as string_id, array_to_string(list(s_name order by s_name), ',') as names from supplier where s_acctbal >= 0 group by s_suppkey")
 def s14_aliases(spark, folder):
-    lines = table(spark, folder, "supplier").select(F.expr("concat_ws('\\t', concat('9606.', s_suppkey), s_name, case when s_suppkey % 3 = 0 then 'Other' else 'UniProt_AC' end)").alias("line"))
+    lines = table(spark, folder, "supplier").select(F.expr("concat_ws('\\t', concat('9606.', s_suppkey), s_name, case when s_acctbal < 0 then 'Other' else 'UniProt_AC' end)").alias("line"))
     return tx.aliases(lines).groupBy("string_id").agg(F.array_join(F.sort_array(F.collect_set("alias")), ",").alias("names"))
 
 
-@query("select s_suppkey, cast(9000 + s_nationkey as bigint) as taxid, concat('P', s_suppkey) as protein from supplier where s_suppkey % 4 <> 0")
+@query("select s_suppkey, cast(9000 + s_nationkey as bigint) as taxid, concat('P', s_suppkey) as protein from supplier where s_acctbal >= 0")
 def s15_cross_references(spark, folder):
-    lines = table(spark, folder, "supplier").select("s_suppkey", F.expr("concat('DR   ', case when s_suppkey % 4 = 0 then 'PDB; ' else 'STRING; ' end, 9000 + s_nationkey, '.P', s_suppkey, '; -.')").alias("line"))
+    lines = table(spark, folder, "supplier").select("s_suppkey", F.expr("concat('DR   ', case when s_acctbal < 0 then 'PDB; ' else 'STRING; ' end, 9000 + s_nationkey, '.P', s_suppkey, '; -.')").alias("line"))
     return tx.cross_reference(lines).select("s_suppkey", "taxid", "protein")
 
 
@@ -286,12 +287,12 @@ def j14_partner_domains(spark, folder):
     return counts.join(names, "fam").select("taxid", "p1", "fam_id", "n_partners")
 
 
-@query("select g.fam, coalesce(p.fam_id, cast(g.fam as varchar)) as name, count(*) as n from fx_pfam g left join (select * from fx_clan where fam % 5 <> 0) p on p.fam = g.fam where g.acc in (select p_partkey from part where p_size < 10) group by all")
+@query("select f.t as family, coalesce(p.pfama_id, f.t) as name, count(*) as n from full_hits f left join pfama p on p.pfama_acc = f.t where f.q in (select pfama_acc from clan_membership) group by all", _HITS)
 def j15_lookup_with_fallback(spark, folder):
-    known = table(spark, folder, "part").where("p_size < 10").select(F.col("p_partkey").alias("acc"))
-    names = fx.clans(spark, folder).where("fam % 5 <> 0").select("fam", "fam_id")
-    counts = fx.family_regions(spark, folder).join(known, "acc", "left_semi").groupBy("fam").agg(F.count("*").alias("n"))
-    return counts.join(names, "fam", "left").select("fam", F.coalesce("fam_id", F.col("fam").cast("string")).alias("name"), "n")
+    known = table(spark, folder, "clan_membership").select(F.col("pfama_acc").alias("q"))
+    names = table(spark, folder, "pfama").select(F.col("pfama_acc").alias("t"), "pfama_id")
+    counts = _full(spark, folder).join(known, "q", "left_semi").groupBy("t").agg(F.count("*").alias("n"))
+    return counts.join(names, "t", "left").select(F.col("t").alias("family"), F.coalesce("pfama_id", "t").alias("name"), "n")
 
 
 @query(
@@ -309,25 +310,21 @@ def p16_wilson_bound(spark, folder):
     return rows.select("k", "n", F.round(wilson_lower_bound(F.col("k"), F.col("n"), 0.90), 6).alias("bound"))
 
 
-@query(
-    """select fam, array_to_string(list_sort(list(distinct p2) filter (taxid = 1)), ',') as net_1, array_to_string(list_sort(list(distinct p2) filter (taxid = 2)), ',') as net_2, array_to_string(list_sort(list(distinct p2) filter (taxid = 3)), ',') as net_3
-from net where p1 <= 5 and taxid <= 3 group by fam""",
-    _NET,
-)
+@query(f"""select fam, {", ".join(f"array_to_string(list_sort(list(distinct p1) filter (taxid = {k})), ',') as net_{k}" for k in range(1, 8))} from net group by fam""", _NET)
 def a43_family_by_network(spark, folder):
-    rows = _network(spark, folder).where("p1 <= 5 and taxid <= 3")
-    wide = rows.groupBy("fam").pivot("taxid", [1, 2, 3]).agg(F.array_join(F.sort_array(F.collect_set("p2")), ","))
-    return wide.select("fam", *[F.when(F.col(str(k)) != "", F.col(str(k))).alias(f"net_{k}") for k in (1, 2, 3)])
+    species = range(1, 8)
+    wide = _network(spark, folder).groupBy("fam").pivot("taxid", list(species)).agg(F.array_join(F.sort_array(F.collect_set("p1")), ","))
+    return wide.select("fam", *[F.when(F.col(str(k)) != "", F.col(str(k))).alias(f"net_{k}") for k in species])
 
 
 @query(
     """select node, cast(min(hop) as integer) as hop from walk group by node""",
-    """both_ways as (select distinct p1 as a, p2 + 1000000 as b from fx_links where score >= 990 union select distinct p2 + 1000000, p1 from fx_links where score >= 990),
-walk as (select cast(1 as bigint) as node, 0 as hop union select b.b, w.hop + 1 from walk w join both_ways b on b.a = w.node where w.hop < 3)""",
+    """both_ways as (select distinct p1 as a, p2 + 1000000 as b from fx_links where score >= 400 union select distinct p2 + 1000000, p1 from fx_links where score >= 400),
+walk as (select cast(1 as bigint) as node, 0 as hop union select b.b, w.hop + 1 from walk w join both_ways b on b.a = w.node where w.hop < 2)""",
 )
 def x02_neighbourhood(spark, folder):
-    edges = fx.links(spark, folder).where("score >= 990").selectExpr("p1", "p2 + 1000000 as p2")
-    return neighbourhood(edges, "p1", "p2", spark.range(1, 2), "id", 3)
+    edges = fx.links(spark, folder).where("score >= 400").selectExpr("p1", "p2 + 1000000 as p2")
+    return neighbourhood(edges, "p1", "p2", spark.range(1, 2), "id", 2)
 
 
 _BEST = """spans as (select okey, ln, acc, min(cast(split_part(x, '-', 1) as bigint)) as s, max(cast(split_part(x, '-', 2) as bigint)) as e from (select *, unnest(string_split(chopping, '_')) as x from fx_ted) group by okey, ln, acc, fam, chopping),

@@ -219,17 +219,6 @@ def j09_family_to_clan(spark, folder):
     return fx.family_regions(spark, folder).join(known, "fam").select("okey", "ln", "acc", "fam", "clan_acc")
 
 
-@query(
-    """select p.fam, count(*) as n, coalesce(cast(max(k.clan_acc) as varchar), case when max(k.fam_id) is null then 'Unknown' else 'No_clan' end) as clan
-from fx_pfam p left join (select * from fx_clan where fam % 7 <> 0) k on k.fam = p.fam group by p.fam"""
-)
-def j10_clan_with_default(spark, folder):
-    known = fx.clans(spark, folder).where("fam % 7 <> 0")
-    counts = fx.family_regions(spark, folder).groupBy("fam").agg(F.count("*").alias("n"))
-    missing = F.when(F.col("fam_id").isNull(), "Unknown").otherwise("No_clan")
-    return counts.join(known, "fam", "left").select("fam", "n", F.coalesce(F.col("clan_acc").cast("string"), missing).alias("clan"))
-
-
 _ACC = "nullif(upper(trim(split_part({0}, '.', 1), ' ' || chr(9) || chr(10) || chr(13))), '')"
 _REAL = f"""hits as (select region_id, {_ACC.format("id")} as id, {_ACC.format("family")} as family, seq_start, seq_end, evalue from region_hits),
 good as (select * from hits where id is not null and family is not null and seq_start <= seq_end)"""
@@ -240,6 +229,18 @@ def _good(spark, folder):
     return rows.where("id is not null and family is not null and seq_start <= seq_end")
 
 
+@query(
+    """select g.family, count(*) as n, case when c.pfama_acc is null then 'Unknown' when c.clan_acc is null then 'No_clan' else c.clan_acc end as clan
+from good g left join clan_membership c on c.pfama_acc = g.family group by all""",
+    _REAL,
+)
+def j10_clan_with_default(spark, folder):
+    known = table(spark, folder, "clan_membership").select(F.col("pfama_acc").alias("family"), "clan_acc", F.lit(True).alias("known"))
+    counts = _good(spark, folder).groupBy("family").agg(F.count("*").alias("n"))
+    clan = F.when(F.col("known").isNull(), "Unknown").otherwise(F.coalesce("clan_acc", F.lit("No_clan")))
+    return counts.join(known, "family", "left").select("family", "n", clan.alias("clan"))
+
+
 @query(
     """select g.family, p.pfama_id, p.family_type, c.clan_acc, c.clan_id, count(*) as n_regions, count(distinct g.id) as n_ids
 from good g left join pfama p on p.pfama_acc = g.family left join clan_membership c on c.pfama_acc = g.family group by all""",

@@ -54,14 +54,14 @@ def links(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+ALIGNED_LINE = r'^"?([A-Z0-9]+)\.([0-9]+)/([0-9]+)-([0-9]+)"?[ \t]+([A-Za-z.-]+)\s*$'
+
+
 def alignment(spark: SparkSession, folder: str) -> DataFrame:
-    """Alignment rows of 60 columns, in families."""
-    return table(spark, folder, "documents").where("text is not null").selectExpr(
-        "doc_id",
-        "source as family",
-        "lang",
-        "rpad(regexp_replace(substr(text, 1, 60), '[^A-Za-z]', '-'), 60, '.') as aln",
-    )
+    """Alignment rows: accession, its first and last residue, and the aligned sequence."""
+    rows = table(spark, folder, "alignment_lines").where(F.col("raw_line").rlike(ALIGNED_LINE))
+    part = lambda k: F.regexp_extract("raw_line", ALIGNED_LINE, k)
+    return rows.select("line_id", "family", part(1).alias("acc"), part(3).cast("bigint").alias("first"), part(4).cast("bigint").alias("last"), part(5).alias("aln"))
 
 
 def residues(spark: SparkSession, folder: str) -> DataFrame:
@@ -121,8 +121,8 @@ SQL = {
     "fx_pfam": "select okey, ln, acc, s as seq_start, e as seq_end, fam, evalue from fx_region where src = 'O'",
     "fx_clan": "select s_suppkey as fam, case when s_nationkey % 5 = 0 then null else s_nationkey end as clan_acc, s_name as fam_id from supplier",
     "fx_links": "select l_suppkey as p1, l_partkey as p2, l_linenumber as taxid, cast(floor(l_extendedprice) as bigint) % 1000 as score from lineitem",
-    "fx_align": """select doc_id, source as family, lang, rpad(regexp_replace(substr(text, 1, 60), '[^A-Za-z]', '-', 'g'), 60, '.') as aln
-  from documents where text is not null""",
+    "fx_align": f"""select line_id, family, x.acc as acc, cast(x.a as bigint) as first, cast(x.b as bigint) as last, x.aln as aln
+  from (select line_id, family, regexp_extract(raw_line, '{ALIGNED_LINE}', ['acc', 'v', 'a', 'b', 'aln']) as x from alignment_lines) where x.acc <> ''""",
     "fx_res": """select label as prot, cast(row_number() over (partition by label order by vec_id) as integer) as idx, cast(embedding[1] as double) * 100 as x,
   cast(embedding[2] as double) * 100 as y, cast(embedding[3] as double) * 100 as z,
   least(100.0::double, abs(cast(embedding[4] as double)) * 800) as plddt from embeddings""",
