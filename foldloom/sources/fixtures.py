@@ -99,6 +99,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
         "cast(floor(value) as bigint) % 300 + 1 as s",
         "cast(floor(value) as bigint) % 300 + 40 + event_id % 60 as e",
         "event_id",
+        "cast(ts as date) as day",
     )
 
 
@@ -131,7 +132,7 @@ SQL = {
   case when o_orderkey % 5 = 0 then 0 else o_orderkey % 11 end as swissprot,
   concat(case when o_orderkey % 2 = 0 then concat('CL000', o_custkey % 3, ':') else '' end, 'Fam', o_custkey % 7, ' ', o_orderkey % 50, '(', o_orderkey % 900 + 1, ')') as detail
   from orders""",
-    "fx_pred": """select user_id as prot, event_type as method, cast(floor(value) as bigint) % 300 + 1 as s, cast(floor(value) as bigint) % 300 + 40 + event_id % 60 as e, event_id
+    "fx_pred": """select user_id as prot, event_type as method, cast(floor(value) as bigint) % 300 + 1 as s, cast(floor(value) as bigint) % 300 + 40 + event_id % 60 as e, event_id, cast(ts as date) as day
   from events where value is not null""",
     "fx_desc": """select doc_id, concat('ID   D', doc_id, '|DE   ', substr(regexp_replace(text, '[^A-Za-z]', ' ', 'g'), 1, 30), '|TP   ',
   case when n_chars % 3 = 0 then 'Domain' when n_chars % 3 = 1 then 'Family' else 'Repeat' end, '|RN   [1]|RM   ', 1000000 + n_chars, '|CC   ', coalesce(lang, '')) as rec
