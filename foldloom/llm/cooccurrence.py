@@ -81,11 +81,13 @@ def count_pairs(
     lists = whole.groupBy("basket").agg(F.sort_array(F.collect_list("code")).alias("own")).where(F.size("own") > 1)
     codes = lists.select(F.explode(_codes(F.col("own"))).alias("code"))
     if split is not None:
-        blocks = cut(split.groupBy("basket", "block").agg(F.sort_array(F.collect_list("code")).alias("own")), "blocks")
-        left, right = blocks.alias("l"), blocks.alias("r")
-        met = left.join(right, F.expr("l.basket = r.basket and l.block < r.block")).repartition()
-        codes = codes.unionAll(blocks.select(F.explode(_codes(F.col("own"))).alias("code")))
-        codes = codes.unionAll(met.select(F.explode(_codes(F.col("l.own"), F.col("r.own"))).alias("code")))
+        own = F.sort_array(F.collect_list("code")).alias("own")
+        parts = cut(split.groupBy("basket", "blocks", "block").agg(own), "blocks")
+        # each pair of blocks has its own key, so one basket's pairs of blocks spread over tasks
+        left = parts.where("block < blocks - 1").select("basket", F.col("block").alias("i"), F.explode(F.expr("sequence(block + 1, blocks - 1)")).alias("j"), "own")
+        right = parts.where("block > 0").select("basket", F.explode(F.expr("sequence(0, block - 1)")).alias("i"), F.col("block").alias("j"), F.col("own").alias("other"))
+        codes = codes.unionAll(parts.select(F.explode(_codes(F.col("own"))).alias("code")))
+        codes = codes.unionAll(left.join(right, ["basket", "i", "j"]).select(F.explode(_codes(F.col("own"), F.col("other"))).alias("code")))
     counted = codes.select("code", F.lit(1).cast("bigint").alias("n"))
     for again in (False, True):
         counted = (counted.repartition("code") if again else counted).sortWithinPartitions("code").mapInArrow(_runs, "code bigint, n bigint")
