@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Name = str | Column
@@ -91,3 +91,13 @@ def residue_overlap(s1: Name, e1: Name, s2: Name, e2: Name) -> Column:
 def boundary_similarity(b1: Name, b2: Name, tolerance: int) -> Column:
     """1 for equal boundaries, falling to 0 at the tolerance."""
     return F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(_c(b1) - _c(b2)) / F.lit(float(tolerance)))
+
+
+def with_spans(df: DataFrame, chopping: str) -> DataFrame:
+    """df with segs, their outer span_s and span_e, and their total length d_len; rows without a segment are left out.
+
+    Both steps generate one row from one, which keeps Catalyst from repeating the parse in every later expression.
+    """
+    parsed = df.select("*", F.explode(F.array(segments(chopping))).alias("segs")).where(F.size("segs") > 0)
+    spans = F.struct(span_start("segs").alias("span_s"), span_end("segs").alias("span_e"), total_length("segs").alias("d_len"))
+    return parsed.select("*", F.inline(F.array(spans)))

@@ -12,12 +12,11 @@ from foldloom.operators.intervals import overlap_join
 def matched_both_ways(domains: DataFrame, regions: DataFrame, min_overlap: float = 0.5) -> DataFrame:
     """Pairs of a domain (acc, chopping, ...) and a region (acc, seq_start, seq_end, ...) on one protein whose common
     residues, over all segments of the domain, are at least min_overlap of either."""
-    cut = domains.withColumn("segs", iv.segments("chopping")).where(F.size("segs") > 0)
-    cut = cut.withColumns({"span_s": iv.span_start("segs"), "span_e": iv.span_end("segs")})
-    met = overlap_join(cut, regions, "acc", "span_s", "span_e", "seq_start", "seq_end")
+    met = overlap_join(iv.with_spans(domains, "chopping"), regions, "acc", "span_s", "span_e", "seq_start", "seq_end")
+    needed = F.greatest(F.lit(1), min_overlap * F.greatest(F.col("d_len"), F.col("seq_end") - F.col("seq_start") + 1))
+    met = met.where(iv.overlap("span_s", "span_e", "seq_start", "seq_end") >= needed)  # cheap, and never less than what the segments share
     met = met.withColumn("common", iv.segments_overlap("segs", "seq_start", "seq_end"))
-    enough = (F.col("common") >= min_overlap * iv.total_length("segs")) & (F.col("common") >= min_overlap * (F.col("seq_end") - F.col("seq_start") + 1))
-    return met.where(enough & (F.col("common") > 0)).drop("span_s", "span_e")
+    return met.where(F.col("common") >= needed).drop("span_s", "span_e", "d_len")
 
 
 def ranked_list(value: Column, count: Column, most: int | None = None, sep: str = ",", with_count: bool = False) -> Column:

@@ -83,9 +83,7 @@ met as (select a.line_id, t.domain_id, greatest(t.s, a.first) as cs, least(t.e,
 
 
 def _spans(spark, folder):
-    segs = iv.segments("chopping")
-    rows = table(spark, folder, "ted_domains").withColumn("segs", segs).where(F.size("segs") > 0)
-    return rows.select("domain_id", F.col("uniprot_acc").alias("acc"), iv.span_start("segs").alias("s"), iv.span_end("segs").alias("e"))
+    return iv.with_spans(table(spark, folder, "ted_domains"), "chopping").selectExpr("domain_id", "uniprot_acc as acc", "span_s as s", "span_e as e")
 
 
 @query("select m.line_id, m.domain_id, p.col as col_s, q.col as col_e from met m join amap p on p.line_id = m.line_id and p.residue = m.cs join amap q on q.line_id = m.line_id and q.residue = m.ce", _SPANS)

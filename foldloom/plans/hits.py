@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foldloom.functions import intervals as iv
 from foldloom.functions.keys import accession
 from foldloom.functions.scores import evalue_class, score_class, structure_probability, wilson_lower_bound
+from foldloom.operators.intervals import overlap_join
 from foldloom.operators.networks import best_edges, domain_frequencies, family_statistics, first_per_key, methods_side_by_side, neighbourhood
 from foldloom.plans.registry import Plans
 from foldloom.sources import fixtures as fx
@@ -200,8 +202,6 @@ cand as (select distinct a.fam as a, b.fam as b from fx_pfam a join fx_pfam b on
 
 
 def _nested(spark, folder):
-    from foldloom.operators.intervals import overlap_join
-
     a = fx.family_regions(spark, folder).selectExpr("acc", "fam as outer_fam", "seq_start as os", "seq_end as oe")
     b = fx.family_regions(spark, folder).selectExpr("acc", "fam as inner_fam", "seq_start as i_s", "seq_end as i_e")
     inside = overlap_join(a, b, "acc", "os", "oe", "i_s", "i_e").where("os < i_s and i_e < oe and outer_fam <> inner_fam")
@@ -333,11 +333,7 @@ cons as (select p.acc, p.okey, p.ln, p.fam, p.seq_start, p.seq_end, coalesce(max
 
 
 def _consistency(spark, folder):
-    from foldloom.functions import intervals as iv
-    from foldloom.operators.intervals import overlap_join
-
-    domains = fx.structure_domains(spark, folder).withColumn("segs", iv.segments("chopping"))
-    spans = domains.select("acc", iv.span_start("segs").alias("s"), iv.span_end("segs").alias("e"))
+    spans = iv.with_spans(fx.structure_domains(spark, folder), "chopping").selectExpr("acc", "span_s as s", "span_e as e")
     regions = fx.family_regions(spark, folder).select("acc", "okey", "ln", "fam", "seq_start", "seq_end")
     common = iv.overlap("s", "e", "seq_start", "seq_end")
     score = F.least(common / (F.col("seq_end") - F.col("seq_start") + 1), common / (F.col("e") - F.col("s") + 1))

@@ -125,9 +125,9 @@ def _seed(spark, folder):
 
 def _covered(spark, folder):
     """Seed sequences with the structure domains that cover at least half of them."""
-    domains = fx.structure_domains(spark, folder).withColumn("segs", iv.segments("chopping"))
-    domains = domains.withColumns({"d_s": iv.span_start("segs"), "d_e": iv.span_end("segs")})
-    met = overlap_join(_seed(spark, folder), domains, "acc", "seed_s", "seed_e", "d_s", "d_e")
+    domains = iv.with_spans(fx.structure_domains(spark, folder), "chopping")
+    met = overlap_join(_seed(spark, folder), domains, "acc", "seed_s", "seed_e", "span_s", "span_e")
+    met = met.where(iv.overlap("span_s", "span_e", "seed_s", "seed_e") >= 0.5 * (F.col("seed_e") - F.col("seed_s") + 1))
     covered = iv.segments_overlap("segs", "seed_s", "seed_e") / (F.col("seed_e") - F.col("seed_s") + 1)
     return met.withColumn("covered", covered).where("covered >= 0.5")
 
@@ -150,8 +150,7 @@ from (select okey, ln, acc, fam, min(s) as s, max(e) as e from segs group by oke
     f"{_SEGS}, {_SEED}",
 )
 def j05_span_report(spark, folder):
-    domains = fx.structure_domains(spark, folder).withColumn("segs", iv.segments("chopping"))
-    spans = domains.select("okey", "ln", "acc", iv.span_start("segs").alias("s"), iv.span_end("segs").alias("e"))
+    spans = iv.with_spans(fx.structure_domains(spark, folder), "chopping").selectExpr("okey", "ln", "acc", "span_s as s", "span_e as e")
     percent = F.round(iv.overlap_percent("s", "e", "seed_s", "seed_e"), 4)
     return spans.join(_seed(spark, folder), "acc").select("acc", "okey", "ln", "sokey", "sln", percent.alias("percent"))
 
@@ -163,8 +162,7 @@ where greatest(0, least(t.e, d.seed_e) - greatest(t.s, d.seed_s) + 1) > 0.5 * (t
     f"{_SEGS}, {_SEED}",
 )
 def j06_first_overlap(spark, folder):
-    domains = fx.structure_domains(spark, folder).withColumn("segs", iv.segments("chopping"))
-    spans = domains.select("okey", "ln", "acc", "fam", iv.span_start("segs").alias("s"), iv.span_end("segs").alias("e"))
+    spans = iv.with_spans(fx.structure_domains(spark, folder), "chopping").selectExpr("okey", "ln", "acc", "fam", "span_s as s", "span_e as e")
     met = overlap_join(spans, _seed(spark, folder), "acc", "s", "e", "seed_s", "seed_e")
     met = met.where(iv.overlap("s", "e", "seed_s", "seed_e") > 0.5 * (F.col("e") - F.col("s") + 1))
     first = Window.partitionBy("acc", "okey", "ln", "fam").orderBy("sokey", "sln", "sfam", "seed_s", "seed_e")

@@ -13,6 +13,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.autoBroadcastJoinThreshold", "1m")  # files of one row group are read by one task: a shuffle spreads the join
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
