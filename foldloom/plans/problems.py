@@ -19,6 +19,13 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return region.unionAll(alignment).where("state = 'rejected'").select("feed", "line_id")
 
 
+def p1_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """The rejected records, unchanged, with the reason."""
+    region = region_records(table(spark, folder, "region_lines")).select(F.lit("region").alias("feed"), "line_id", "raw_line", "state", "reason")
+    alignment = alignment_records(table(spark, folder, "alignment_lines")).select(F.lit("alignment").alias("feed"), "line_id", "raw_line", "state", "reason")
+    return region.unionAll(alignment).where("state = 'rejected'").drop("state")
+
+
 def p1_region_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The typed valid rows of the search feed."""
     rows = region_records(table(spark, folder, "region_lines")).where("state = 'valid'")
@@ -99,4 +106,4 @@ select r.family, count(*) as n_regions, count(distinct r.id) as n_ids, coalesce(
 from r left join b on b.family = r.family and b.k = 1 where r.family is not null group by r.family""",
 }
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_region_rows, p1_alignment_rows, p4_found, p5_found, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rejects, p1_region_rows, p1_alignment_rows, p4_found, p5_found, p6_found)}
