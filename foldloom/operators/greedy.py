@@ -35,3 +35,24 @@ def greedy_picks(nodes: DataFrame, conflicts: DataFrame, group: str, node: str,
     heads = before.join(picked.select(group, F.col(node).alias("a")), [group, "a"], "left_semi").groupBy(group, "b").agg(F.min("at_a").alias("by"))
     rest = heads.join(picked.select(group, F.col(node).alias("b")), [group, "b"], "left_anti").select(group, F.col("b").alias(node), F.col("by.n").alias("head"))
     return picked.select(group, node, F.col(node).alias("head")).unionByName(rest)
+
+
+def first_for_both_keys(pairs: DataFrame, pair: str, key_a: str, key_b: str, rank: str) -> DataFrame:
+    """The rows that a pass in order of (rank, pair) keeps if each key may be used once, by key_a or key_b of any row.
+
+    A row that comes first among those left for both of its keys is kept by the pass in any case, so all such rows are
+    kept at once; rows that use a key of a kept one leave, and it goes on. Keys are of one type and never null.
+    """
+    left = cut(pairs.select(pair, key_a, key_b, F.struct(F.col(rank).alias("r"), F.col(pair).alias("p")).alias("at")), "left")
+    kept = None
+    while not left.isEmpty():
+        keys = left.select("at", F.explode(F.array(key_a, key_b)).alias("key"))
+        first = keys.groupBy("key").agg(F.min("at").alias("first"))
+        a = first.select(F.col("key").alias(key_a), F.col("first").alias("first_a"))
+        b = first.select(F.col("key").alias(key_b), F.col("first").alias("first_b"))
+        now = cut(left.join(a, key_a).join(b, key_b).where("first_a = at and first_b = at").select(pair, key_a, key_b), "kept")
+        used = now.select(F.explode(F.array(key_a, key_b)).alias("key")).distinct()
+        rest = left.join(used.withColumnRenamed("key", key_a), key_a, "left_anti").join(used.withColumnRenamed("key", key_b), key_b, "left_anti")
+        left = cut(rest.select(pair, key_a, key_b, "at"), "left")
+        kept = now if kept is None else kept.unionByName(now)
+    return (kept if kept is not None else left).select(pair, key_a, key_b)

@@ -146,6 +146,25 @@ def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
     return labels.select("prot", F.col("v").alias("idx"), "dom")
 
 
+def components(edges: DataFrame, group: str, a: str, b: str) -> DataFrame:
+    """group, node, first: each node of an edge with the smallest node of its connected component, in every group.
+
+    Labels spread along edges and jump to the label of the label, so long chains take few rounds.
+    """
+    both = edges.select(group, F.col(a).alias("node"), F.col(b).alias("other")).unionAll(edges.select(group, F.col(b).alias("node"), F.col(a).alias("other")))
+    both = cut(both.distinct(), "links")
+    labels = both.groupBy(group, "node").agg(F.least(F.min("other"), F.first("node")).alias("first"))
+    labels = cut(labels, "labels")
+    while True:
+        near = both.join(labels.select(group, F.col("node").alias("other"), "first"), [group, "other"]).groupBy(group, "node").agg(F.min("first").alias("near"))
+        step = labels.join(near, [group, "node"]).select(group, "node", "first", F.least("first", "near").alias("new"))
+        jump = labels.select(group, F.col("node").alias("new"), F.col("first").alias("far"))
+        step = cut(step.join(jump, [group, "new"], "left").select(group, "node", "first", F.least("new", "far").alias("new")), "labels")
+        labels = step.select(group, "node", F.col("new").alias("first"))
+        if step.where("first <> new").isEmpty():
+            return labels
+
+
 def grown(edges: DataFrame, seeds: DataFrame, min_weight: float, rounds: int = 10) -> DataFrame:
     """prot, idx, dom: domains grown from seeds, all at the same time.
 

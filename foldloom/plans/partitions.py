@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foldloom.functions import intervals as iv
 from foldloom.operators import evaluation as ev
 from foldloom.operators import partition as pt
 from foldloom.operators import structure as st
-from foldloom.operators.greedy import greedy_picks
+from foldloom.operators.greedy import first_for_both_keys, greedy_picks
 from foldloom.operators.intervals import overlap_join
 from foldloom.operators.islands import merged, runs
+from foldloom.plans.mapping import _midpoint_pairs
 from foldloom.plans.registry import Plans
 from foldloom.plans.structure import _BR, _E, _bridges, _edges, _figures, _members
 from foldloom.scratch import cut
 from foldloom.sources import fixtures as fx
+from foldloom.sources.lines import by_delimiter, by_pattern
 from foldloom.sources.tables import table
 
 query = Plans()
@@ -229,3 +232,78 @@ def k10_viewer_scripts(spark, folder):
     ordered = F.sort_array(F.collect_list(F.struct("seg_s", "seg_e")))
     text = F.array_join(F.transform(ordered, lambda x: F.concat_ws("-", x["seg_s"], x["seg_e"])), ",")
     return segs.groupBy("prot").agg(F.concat(F.lit("select #1:"), text, F.lit("; color red sel")).alias("script"))
+
+
+@query(
+    "select prot, a as node, min(b) as first from reach group by prot, a",
+    f"""{_BR}, lk as (select distinct prot, start as a, "end" as b from br union select distinct prot, "end", start from br),
+reach as (select distinct prot, a, a as b from lk union select r.prot, r.a, l.b from reach r join lk l on l.prot = r.prot and l.a = r.b)""",
+)
+def x01_bridged_components(spark, folder):
+    return st.components(_bridges(spark, folder).select("prot", F.col("start").alias("a"), F.col("end").alias("b")), "prot", "a", "b")
+
+
+@query()
+def x26_consolidated_ranges(spark, folder):
+    """Predicted ranges, the longest first, without those that share four fifths of the shorter with one before."""
+    rows = fx.predictions(spark, folder).select("prot", "s", "e").distinct().withColumn("node", F.struct("s", "e"))
+    a = rows.select("prot", F.col("node").alias("a"), "s", "e")
+    b = rows.select("prot", F.col("node").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    near = overlap_join(a, b, "prot", "s", "e", "s2", "e2", 64).where(iv.shorter_fraction("s", "e", "s2", "e2") >= 0.8).where("a < b").select("prot", "a", "b")
+    picks = greedy_picks(rows.withColumn("rank", F.col("s") - F.col("e")), near, "prot", "node", "rank")
+    return picks.where("node = head").select("prot", "node.s", "node.e")
+
+
+@query()
+def a05_family_pairs_once(spark, folder):
+    """A05 with each region counted once for each partner family, in order of the regions."""
+    hit = lambda side: F.struct(F.col(f"{side}o"), F.col(f"{side}l"), F.col(f"fam_{side}"), F.col(f"{side}_s"), F.col(f"{side}_e"))
+    key = lambda side, other: F.concat_ws("/", "acc", f"{side}o", f"{side}l", f"fam_{side}", f"{side}_s", f"{side}_e", f"fam_{other}")
+    pairs = _midpoint_pairs(spark, folder).where("fam_a <> fam_b").groupBy(F.struct(hit("a").alias("a"), hit("b").alias("b")).alias("pair"), "acc", "fam_a", "fam_b", key("a", "b").alias("ka"), key("b", "a").alias("kb"))
+    pairs = pairs.agg(F.min(F.exp(-F.col("ea")) * F.exp(-F.col("eb"))).alias("score")).withColumn("pair", F.struct("acc", "pair"))
+    kept = first_for_both_keys(pairs.withColumn("rank", F.lit(0)), "pair", "ka", "kb", "rank").select("ka", "kb")
+    rows = pairs.join(kept, ["ka", "kb"]).groupBy(F.least("fam_a", "fam_b").alias("fam_1"), F.greatest("fam_a", "fam_b").alias("fam_2"))
+    return rows.agg(F.count("*").alias("n_common"), F.round(F.sum("score"), 4).alias("sum_score"))
+
+
+@query(
+    """select x.prot, x.method_a, x.method_b, x.n_both, p.n + q.n - x.n_both as n_any from (select a.prot, a.method as method_a, b.method as method_b, count(*) as n_both from d a join d b on b.prot = a.prot and b.day = a.day and a.method < b.method group by all) x
+join c p on p.prot = x.prot and p.method = x.method_a join c q on q.prot = x.prot and q.method = x.method_b""",
+    "d as (select distinct prot, method, day from fx_pred), c as (select prot, method, count(*) as n from d group by all)",
+)
+def u05_set_sizes(spark, folder):
+    """Days on which both of two methods, or either, predicted domains of a protein."""
+    sets = fx.predictions(spark, folder).groupBy("prot", "method").agg(F.collect_set("day").alias("days"))
+    a, b = sets.withColumnsRenamed({"method": "method_a", "days": "da"}), sets.withColumnsRenamed({"method": "method_b", "days": "db"})
+    rows = a.join(b, "prot").where("method_a < method_b")
+    n = lambda f: F.size(f("da", "db")).cast("bigint")
+    return rows.select("prot", "method_a", "method_b", n(F.array_intersect).alias("n_both"), n(F.array_union).alias("n_any")).where("n_both > 0")
+
+
+@query("select domain_id, round(cast(total as double) / (span_e - span_s + 1), 6) as coverage from (select domain_id, sum(cast(split_part(x, '-', 2) as bigint) - cast(split_part(x, '-', 1) as bigint) + 1) as total, min(cast(split_part(x, '-', 1) as bigint)) as span_s, max(cast(split_part(x, '-', 2) as bigint)) as span_e from (select *, unnest(string_split(chopping, '_')) as x from ted_domains where chopping is not null) where regexp_full_match(x, '[0-9]+-[0-9]+') group by domain_id)")
+def p30_segment_coverage(spark, folder):
+    rows = iv.with_spans(table(spark, folder, "ted_domains"), "chopping")
+    return rows.select("domain_id", F.round(F.col("d_len") / (F.col("span_e") - F.col("span_s") + 1), 6).alias("coverage"))
+
+
+@query("select domain_id, uniprot_acc as acc, coalesce(ted_suffix, '') as suffix, chopping, consensus_level as level from ted_domains where uniprot_acc is not null and chopping is not null and consensus_level is not null and cath_label is not null and not contains(chopping, chr(9)) and not contains(chopping, chr(10))")
+def s03_domain_lines(spark, folder):
+    """Tab-separated domain lines; those with fewer than five columns are left out."""
+    whole = "uniprot_acc is not null and chopping is not null and consensus_level is not null and cath_label is not null and not contains(chopping, chr(9)) and not contains(chopping, chr(10))"
+    line = F.expr(f"case when {whole} then concat(uniprot_acc, chr(9), coalesce(ted_suffix, ''), chr(9), chopping, chr(9), consensus_level, chr(9), cath_label) else concat(coalesce(uniprot_acc, ''), chr(9), 'cut off') end")
+    rows = table(spark, folder, "ted_domains").select("domain_id", line.alias("line"))
+    return by_delimiter(rows, dict.fromkeys(("acc", "suffix", "chopping", "level", "label"), "string"), comment=None).select("domain_id", "acc", "suffix", "chopping", "level")
+
+
+@query("select s_suppkey as acc, s_nationkey as pdb, round(s_acctbal, 2) as score from supplier where s_acctbal > 25")
+def s31_marked_up_hits(spark, folder):
+    """Values out of marked-up hit lines, with the cut-off of the score."""
+    line = F.expr("""concat('<hit acc="', s_suppkey, '"><pdb id="', s_nationkey, '"/><score>', cast(s_acctbal as decimal(12, 2)), '</score></hit>')""")
+    rows = by_pattern(table(spark, folder, "supplier").select(line.alias("line")), r'acc="(\d+)".*id="(\d+)".*<score>(-?[\d.]+)</score>', {"acc": "bigint", "pdb": "int", "score": "double"})
+    return rows.where("score > 25").select("acc", "pdb", F.round("score", 2).alias("score"))
+
+
+@query("select o.o_orderkey, coalesce(s.s_name, 'none') as representative from orders o left join supplier s on s.s_suppkey = o.o_custkey")
+def s33_representatives(spark, folder):
+    names = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("o_custkey"), "s_name")
+    return table(spark, folder, "orders").join(names, "o_custkey", "left").select("o_orderkey", F.coalesce("s_name", F.lit("none")).alias("representative"))

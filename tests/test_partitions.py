@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 
-from foldloom.operators.greedy import greedy_picks
+from foldloom.operators.greedy import first_for_both_keys, greedy_picks
 from foldloom.operators.partition import best_segments, fiedler
+from foldloom.operators.structure import components
 
 
 def test_greedy_picks(spark):
@@ -37,3 +38,27 @@ def test_best_segments(spark):
     lengths = spark.createDataFrame([("p", 40), ("q", 30)], "prot string, n int")
     got = sorted((x["prot"], x["seg_s"], x["seg_e"]) for x in best_segments(block_edges(spark), lengths, [0.0, 1.0], 10).collect())
     assert got == [("p", 1, 20), ("p", 21, 40), ("q", 1, 30)]
+
+
+def test_first_for_both_keys(spark):
+    r = random.Random(9)
+    rows = [(k, r.randint(0, 15), r.randint(0, 15), r.randint(0, 3)) for k in range(120)]
+    got = {x["p"] for x in first_for_both_keys(spark.createDataFrame(rows, "p int, a int, b int, r int"), "p", "a", "b", "r").collect()}
+    used, want = set(), set()
+    for p, a, b, _ in sorted(rows, key=lambda x: (x[3], x[0])):
+        if not {a, b} & used:
+            want.add(p)
+            used |= {a, b}
+    assert got == want
+
+
+def test_components(spark):
+    rows = [(g, k, k + 1) for g in range(2) for k in range(40) if k % 13]
+    got = {(x["g"], x["node"]): x["first"] for x in components(spark.createDataFrame(rows, "g int, a int, b int"), "g", "a", "b").collect()}
+    want, first = {}, None
+    for g in range(2):
+        for k in range(1, 41):
+            first = k if (k - 1) % 13 == 0 else first
+            if (g, k - 1, k) in rows or (g, k, k + 1) in rows:
+                want[g, k] = first
+    assert got == want
