@@ -72,6 +72,9 @@ CASES = [
     ("Thanks to S. Kastani and ANNE-LISE DE LA FALSMARK.", [("name", "S. Kastani"), ("name", "ANNE-LISE DE LA FALSMARK")]),
     ("+'Søren O'Kastani', x", [("name", "Søren O'Kastani")]),
     ("+hana nørracott,1", [("name", "hana nørracott")]),
+    ("+F. Unknown;1\n+hana unknown\t2\nsee F. Unknown, or hana unknown", [("name", "F. Unknown"), ("name", "hana unknown")]),
+    ("Agreed with Unknown, Hana.", [("name", "Unknown, Hana")]),
+    ("Søren Kastani, Hana and others", [("name", "Søren Kastani")]),
     ("ask Hana about Release Notes", []),
     ("Reported by Build Robot <b@ci.example>", [("name", "Build Robot"), ("email", "b@ci.example")]),
     ("cc a.b+git (at) mail (dot) example (dot) com; tel +1-415-555-0156 ext. 38.", [("email", "a.b+git (at) mail (dot) example (dot) com"), ("phone", "+1-415-555-0156 ext. 38")]),
