@@ -124,24 +124,23 @@ def disorder(residues: DataFrame, cutoff: float, window: int = 10, tail: int = 3
     return rows.drop("_starts", "_window")
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 16) -> DataFrame:
     """prot, idx, dom: communities by weighted label propagation over all proteins at once.
 
-    In each round every residue takes the label with the largest weight among its neighbours and itself (ties: the
-    smallest label); it ends when nothing changes, or after `rounds`. Residues without contacts have no row.
+    Every residue wants the label with the largest weight among its neighbours (ties: the smallest label). In each round
+    about half of them, by a hash that differs from round to round, take it, so that neighbours don't swap labels for
+    ever; it ends when nobody wants another, or after `rounds`. Residues without contacts have no row.
     """
     both = cut(edges.select("prot", F.col("i").alias("u"), F.col("j").alias("v"), "w").unionAll(edges.select("prot", "j", "i", "w")), "edges")
-    own = both.groupBy("prot", "u").agg((F.max("w") * 1.01).alias("w")).select("prot", "u", F.col("u").alias("v"), "w")
-    both = cut(both.unionAll(own), "edges")
     labels = both.select("prot", F.col("u").alias("v"), F.col("u").alias("dom")).distinct()
-    for _ in range(rounds):
+    for k in range(rounds):
         votes = both.join(labels, ["prot", "v"]).groupBy("prot", "u", "dom").agg(F.round(F.sum("w"), 9).alias("votes"))
-        new = votes.groupBy("prot", "u").agg(F.max(F.struct("votes", (-F.col("dom")).alias("minus"))).alias("best"))
-        new = cut(new.select("prot", F.col("u").alias("v"), (-F.col("best.minus")).alias("dom")), "labels")
-        changed = new.join(labels.withColumnRenamed("dom", "old"), ["prot", "v"]).where("dom <> old")
-        done = changed.isEmpty()
-        labels = new
-        if done:
+        best = votes.groupBy("prot", "u").agg(F.max(F.struct("votes", (-F.col("dom")).alias("minus"))).alias("best"))
+        wanted = best.select("prot", F.col("u").alias("v"), (-F.col("best.minus")).alias("want"))
+        moves = F.shiftright(F.xxhash64("v"), k).bitwiseAND(F.lit(1).cast("bigint")) == 0
+        new = cut(labels.join(wanted, ["prot", "v"]).select("prot", "v", F.when(moves, F.col("want")).otherwise(F.col("dom")).alias("new"), (F.col("want") != F.col("dom")).alias("wants")), "labels")
+        labels = new.select("prot", "v", F.col("new").alias("dom"))
+        if new.where("wants").isEmpty():
             break
     return labels.select("prot", F.col("v").alias("idx"), "dom")
 
@@ -220,3 +219,35 @@ def conductance(edges: DataFrame, members: DataFrame) -> DataFrame:
     rows = sides.where("x.dom is not null").groupBy("prot", "x.dom").agg(F.sum("w").alias("vol"), F.sum(leaves).alias("cut")).join(total, "prot")
     least = F.least(F.col("vol"), F.col("all") - F.col("vol"))
     return rows.select("prot", "dom", F.when(least <= 1e-12, F.lit(1.0)).otherwise(F.col("cut") / F.when(least > 1e-12, least)).alias("conductance"))
+
+
+def extended(residues: DataFrame, edges: DataFrame, members: DataFrame, cutoff: float = 70, least: int = 10, reach: int = 50, rounds: int = 10) -> DataFrame:
+    """members (prot, idx, dom) with free stretches of at least `least` confident residues added to the domain to which
+    their contacts weigh most (ties: the smallest), if it has a residue within `reach` of the stretch."""
+    both = cut(edges.select("prot", F.col("i").alias("u"), F.col("j").alias("idx"), "w").unionAll(edges.select("prot", "j", "i", "w")), "edges")
+    members = members.select("prot", "idx", "dom")
+    confident = residues.where(F.col("plddt") >= cutoff).select("prot", "idx")
+    by = Window.partitionBy("prot").orderBy("idx")
+    for _ in range(rounds):
+        free = confident.join(members, ["prot", "idx"], "left_anti")
+        free = free.withColumn("_new", F.when(F.col("idx") - F.lag("idx").over(by) <= 1, 0).otherwise(1)).withColumn("run", F.sum("_new").over(by)).drop("_new")
+        long = free.groupBy("prot", "run").agg(F.count("*").alias("n"), F.min("idx").alias("a"), F.max("idx").alias("b")).where(F.col("n") >= least)
+        free = cut(free.join(long, ["prot", "run"]), "free")
+        pulls = both.join(free.withColumnRenamed("idx", "u"), ["prot", "u"]).join(members, ["prot", "idx"])
+        near = F.max(((F.col("idx") >= F.col("a") - reach) & (F.col("idx") <= F.col("b") + reach)).cast("int"))
+        pulls = pulls.groupBy("prot", "run", "dom").agg(F.round(F.sum("w"), 9).alias("pull"), near.alias("near")).where("near = 1")
+        best = pulls.groupBy("prot", "run").agg(F.max(F.struct("pull", (-F.col("dom")).alias("minus"))).alias("x"))
+        joins = cut(free.join(best, ["prot", "run"]).select("prot", "idx", (-F.col("x.minus")).alias("dom")), "joins")
+        if joins.isEmpty():
+            break
+        members = cut(members.unionByName(joins), "members")
+    return members
+
+
+def predicted_domains(residues: DataFrame, max_distance: float, sigma: float, cutoff: float = 70, min_size: int = 10, min_ratio: float = 0.2) -> DataFrame:
+    """prot, idx, dom: communities of contacts without disordered residues, without those too small or too entangled."""
+    edges = cut(weighted(contacts(residues, max_distance, 3), residues, sigma), "contacts")
+    loose = disorder(residues, cutoff).where("low_window or very_low or tail").select("prot", "idx")
+    members = cut(communities(edges).join(loose, ["prot", "idx"], "left_anti"), "members")
+    good = contact_figures(edges, members).where((F.col("size") >= min_size) & (F.col("ratio") >= min_ratio)).select("prot", "dom")
+    return members.join(good, ["prot", "dom"], "left_semi").select("prot", "idx", "dom")

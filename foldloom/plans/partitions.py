@@ -11,10 +11,11 @@ from foldloom.operators import partition as pt
 from foldloom.operators import structure as st
 from foldloom.operators.greedy import first_for_both_keys, greedy_picks
 from foldloom.operators.intervals import overlap_join
-from foldloom.operators.islands import merged, runs
+from foldloom.operators.islands import core_segments, merged, runs, without_intrusions
+from foldloom.operators.sequences import sequence_clusters, superposed
 from foldloom.plans.mapping import _midpoint_pairs
 from foldloom.plans.registry import Plans
-from foldloom.plans.structure import _BR, _E, _bridges, _edges, _figures, _members
+from foldloom.plans.structure import _BR, _E, REACH, SIGMA, _bridges, _edges, _figures, _members
 from foldloom.scratch import cut
 from foldloom.sources import fixtures as fx
 from foldloom.sources.lines import by_delimiter, by_pattern
@@ -307,3 +308,54 @@ def s31_marked_up_hits(spark, folder):
 def s33_representatives(spark, folder):
     names = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("o_custkey"), "s_name")
     return table(spark, folder, "orders").join(names, "o_custkey", "left").select("o_orderkey", F.coalesce("s_name", F.lit("none")).alias("representative"))
+
+
+@query()
+def x07_core_segments(spark, folder):
+    segs = runs(fx.residues(spark, folder).where("plddt >= 60"), ["prot"], "idx", 1)
+    return core_segments(segs, ["prot"], 3)
+
+
+_LAB = """lab as (select prot, idx, cast(floor(plddt / 34) as integer) as dom from fx_res),
+chg as (select *, case when dom = lag(dom) over (partition by prot order by idx) then 0 else 1 end as f from lab),
+run as (select prot, idx, dom, sum(f) over (partition by prot order by idx) as r from chg),
+sums as (select prot, r, min(dom) as own, count(*) as n from run group by prot, r),
+side as (select *, lag(own) over (partition by prot order by r) as b, lead(own) over (partition by prot order by r) as a from sums)"""
+
+
+@query("select x.prot, x.idx, case when s.n < 3 and s.a = s.b then s.b else s.own end as dom from run x join side s on s.prot = x.prot and s.r = x.r", _LAB)
+def x10_without_intrusions(spark, folder):
+    labels = fx.residues(spark, folder).select("prot", "idx", F.floor(F.col("plddt") / 34).cast("int").alias("dom"))
+    return without_intrusions(labels, ["prot"], "idx", "dom", 3)
+
+
+@query()
+def x12_extended_domains(spark, folder):
+    core = _members(spark, folder).where("plddt >= 60").select("prot", "idx", "dom")
+    return st.extended(fx.residues(spark, folder), _edges(spark, folder), core, cutoff=20, least=2)
+
+
+@query()
+def x16_predicted_domains(spark, folder):
+    return st.predicted_domains(fx.residues(spark, folder), REACH, SIGMA, cutoff=40, min_size=3, min_ratio=0.01)
+
+
+@query("select prot, a as node, min(b) as first from reach group by prot, a", f"""{_DEN}, lk as (select prot, a, b from den where density > 0.02 union select prot, b, a from den where density > 0.02),
+reach as (select distinct prot, a, a as b from lk union select r.prot, r.a, l.b from reach r join lk l on l.prot = r.prot and l.a = r.b)""")
+def x25_transitively_merged(spark, folder):
+    return st.components(_density(spark, folder).where("density > 0.02"), "prot", "a", "b")
+
+
+@query()
+def x41_sequence_clusters(spark, folder):
+    rows = fx.alignment(spark, folder).select("line_id", F.regexp_replace("aln", "[.-]", "").alias("seq"))
+    return sequence_clusters(rows, "line_id", "seq")
+
+
+@query()
+def x43_superposed(spark, folder):
+    """Each protein laid on the one before it, residue by residue."""
+    a = fx.residues(spark, folder).select("prot", "idx", "x", "y", "z")
+    b = a.select((F.col("prot") + 1).alias("prot"), "idx", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
+    rows = superposed(a.join(b, ["prot", "idx"]), ["prot"])
+    return rows.select("prot", "n", F.round("rmsd", 5).alias("rmsd"))

@@ -89,6 +89,7 @@ def test_contacts_and_partitions(spark):
     weighted = st.weighted(edges, res, 20.0)
     found = st.communities(weighted).collect()
     assert all((x["idx"] > 20) == (x["dom"] > 20) for x in found)  # the two halves share no contact
+    assert len({(x["prot"], x["dom"]) for x in found}) < len(found) / 2
     seeds = spark.createDataFrame([(1, 5, 1), (1, 30, 2)], "prot int, idx int, dom int")
     assert all((x["idx"] > 20) == (x["dom"] == 2) for x in st.grown(weighted, seeds, 1e-9).collect())
 
