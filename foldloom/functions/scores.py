@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: quantiles by confidence; the steps and classes below
 Z_OF = {0.95: 1.96, 0.90: 1.645}
 
 

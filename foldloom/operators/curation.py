@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# fixed format of an overlap detail: `[CL:]FAM n(size)`
 DETAIL = r"^(?:(CL\d+):)?([A-Za-z0-9_]+)\s+(\d+)\((\d+)\)$"
 # fixed lists of the flat-file filter
 KEPT_DATABASES = ("STRING", "InterPro", "Pfam", "SMART", "Gene3D")

@@ -80,13 +80,14 @@ def compactness(residues: DataFrame, members: DataFrame) -> DataFrame:
 
 def quality_score(plddt: Column, ratio: Column, rg: Column, size: Column, coverage: Column) -> Column:
     """0 to 100: confidence up to 50, contact ratio up to 25, compactness up to 15, coverage up to 10."""
-    by_root = rg / F.sqrt(size)
+    by_root = rg / F.sqrt(size)  # fixed values: the steps of compactness and the weights
     compact = F.when(by_root < 3, 15).when(by_root < 5, 10).when(by_root < 7, 5).otherwise(0)
     return F.least(F.lit(50.0), plddt / 2) + F.least(F.lit(25.0), ratio * 5) + compact + coverage * 10
 
 
 def ratio_threshold(base: float, size: Column, plddt: Column) -> Column:
     """The contact ratio that a domain must reach: less for large and for confident ones."""
+    # fixed values: the steps by size and confidence
     by_size = F.when(size <= 50, 1.0).when(size <= 100, 0.8).when(size <= 200, 0.7).otherwise(0.6)
     return base * by_size * F.when(plddt >= 90, 0.5).when(plddt >= 80, 0.7).otherwise(1.0)
 

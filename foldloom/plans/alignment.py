@@ -183,7 +183,7 @@ def w05_contiguous_segments(spark, folder):
 
 @query(
     """select acc, min(seq_start) as seg_s, max(seq_end) as seg_e, count(*) as n from (select *, sum(f) over (partition by acc order by seq_start, seq_end rows between unbounded preceding and current row) as run from (select acc, seq_start, seq_end,
-case when seq_start - max(seq_end) over (partition by acc order by seq_start, seq_end rows between unbounded preceding and 1 preceding) <= 5 then 0 else 1 end as f from fx_pfam)) group by acc, run"""
+case when seq_start - max(seq_end) over (partition by acc order by seq_start, seq_end rows between unbounded preceding and 1 preceding) <= 5 then 0 else 1 end as f from fx_family)) group by acc, run"""
 )
 def w06_merged_segments(spark, folder):
     return merged(fx.family_regions(spark, folder), ["acc"], "seq_start", "seq_end", 5)

@@ -197,8 +197,8 @@ def j13_name_by_exact_or_bare_id(spark, folder):
     return rows.select("hit_id", "q", F.coalesce("exact", "by_base", F.lit("UNKNOWN")).alias("target_name"))
 
 
-_NESTED = """nested as (select distinct a.fam as outer_fam, b.fam as inner_fam from fx_pfam a join fx_pfam b on a.acc = b.acc and a.seq_start < b.seq_start and b.seq_end < a.seq_end and a.fam <> b.fam),
-cand as (select distinct a.fam as a, b.fam as b from fx_pfam a join fx_pfam b on a.acc = b.acc and a.fam < b.fam)"""
+_NESTED = """nested as (select distinct a.fam as outer_fam, b.fam as inner_fam from fx_family a join fx_family b on a.acc = b.acc and a.seq_start < b.seq_start and b.seq_end < a.seq_end and a.fam <> b.fam),
+cand as (select distinct a.fam as a, b.fam as b from fx_family a join fx_family b on a.acc = b.acc and a.fam < b.fam)"""
 
 
 def _nested(spark, folder):
@@ -271,7 +271,7 @@ def s15_cross_references(spark, folder):
     return tx.cross_reference(lines).select("s_suppkey", "taxid", "protein")
 
 
-_NET = """net as (select l.taxid, l.p1, l.p2, r.fam from (select distinct taxid, p1, p2 from fx_links where score >= 400) l join (select distinct acc, fam from fx_pfam) r on r.acc = l.p2)"""
+_NET = """net as (select l.taxid, l.p1, l.p2, r.fam from (select distinct taxid, p1, p2 from fx_links where score >= 400) l join (select distinct acc, fam from fx_family) r on r.acc = l.p2)"""
 
 
 def _network(spark, folder):
@@ -329,7 +329,7 @@ def x02_neighbourhood(spark, folder):
 
 _BEST = """spans as (select okey, ln, acc, min(cast(split_part(x, '-', 1) as bigint)) as s, max(cast(split_part(x, '-', 2) as bigint)) as e from (select *, unnest(string_split(chopping, '_')) as x from fx_ted) group by okey, ln, acc, fam, chopping),
 cons as (select p.acc, p.okey, p.ln, p.fam, p.seq_start, p.seq_end, coalesce(max(case when greatest(t.s, p.seq_start) <= least(t.e, p.seq_end) then least((least(t.e, p.seq_end) - greatest(t.s, p.seq_start) + 1) / (p.seq_end - p.seq_start + 1),
-  (least(t.e, p.seq_end) - greatest(t.s, p.seq_start) + 1) / (t.e - t.s + 1)) else 0 end), 0) as score from fx_pfam p left join spans t on t.acc = p.acc group by all)"""
+  (least(t.e, p.seq_end) - greatest(t.s, p.seq_start) + 1) / (t.e - t.s + 1)) else 0 end), 0) as score from fx_family p left join spans t on t.acc = p.acc group by all)"""
 
 
 def _consistency(spark, folder):

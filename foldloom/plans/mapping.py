@@ -20,7 +20,7 @@ _SEGS = """segs as (select okey, ln, acc, fam, cath, consensus_level, chopping,
   from (select *, unnest(string_split(chopping, '_')) as x from fx_ted) where regexp_full_match(x, '[0-9]+-[0-9]+')),
 pairs as (select g.okey as d_okey, g.ln as d_ln, g.acc, g.fam as d_fam, g.cath, g.consensus_level, p.okey, p.ln, p.fam, p.seq_start, p.seq_end,
   sum(greatest(0, least(g.e, p.seq_end) - greatest(g.s, p.seq_start) + 1)) as common, sum(g.e - g.s + 1) as d_len
-  from segs g join fx_pfam p on p.acc = g.acc group by all),
+  from segs g join fx_family p on p.acc = g.acc group by all),
 hit as (select * from pairs where common > 0 and common >= 0.5 * d_len and common >= 0.5 * (seq_end - seq_start + 1)),
 counts as (select cath as label, consensus_level as level, fam, count(*) as n from hit group by all),
 clan as (select c.label, c.level, k.clan_acc, cast(sum(c.n) as bigint) as n_total, count(*) as n_families,
@@ -94,7 +94,7 @@ def k02_label_lists(spark, folder):
 
 @query(
     """select distinct t.okey, t.ln, t.acc, t.fam from fx_ted t where not exists (
-select 1 from segs g join fx_pfam p on p.acc = g.acc and g.s <= p.seq_end and p.seq_start <= g.e where g.okey = t.okey and g.ln = t.ln and g.acc = t.acc and g.fam = t.fam)""",
+select 1 from segs g join fx_family p on p.acc = g.acc and g.s <= p.seq_end and p.seq_start <= g.e where g.okey = t.okey and g.ln = t.ln and g.acc = t.acc and g.fam = t.fam)""",
     _SEGS,
 )
 def j02_domains_without_family(spark, folder):
@@ -201,7 +201,7 @@ def a05_family_pair_counts(spark, folder):
 
 @query(
     """select d.okey, d.ln, d.acc, p.okey as pokey, p.ln as pln, p.fam as pfam from fx_ted d join segs g using (okey, ln, acc, fam, cath, consensus_level, chopping)
-join fx_pfam p on p.acc = d.acc and g.s <= (p.seq_start + p.seq_end) // 2 and (p.seq_start + p.seq_end) // 2 <= g.e""",
+join fx_family p on p.acc = d.acc and g.s <= (p.seq_start + p.seq_end) // 2 and (p.seq_start + p.seq_end) // 2 <= g.e""",
     _SEGS,
 )
 def j08_point_in_interval(spark, folder):
@@ -211,7 +211,7 @@ def j08_point_in_interval(spark, folder):
     return overlap_join(segs, points, "acc", "s", "e", "middle", "middle_end").select("okey", "ln", "acc", "pokey", "pln", "pfam")
 
 
-@query("select p.okey, p.ln, p.acc, p.fam, k.clan_acc from fx_pfam p join fx_clan k on k.fam = p.fam where k.clan_acc is not null")
+@query("select p.okey, p.ln, p.acc, p.fam, k.clan_acc from fx_family p join fx_clan k on k.fam = p.fam where k.clan_acc is not null")
 def j09_family_to_clan(spark, folder):
     known = fx.clans(spark, folder).where("clan_acc is not null").select("fam", "clan_acc")
     return fx.family_regions(spark, folder).join(known, "fam").select("okey", "ln", "acc", "fam", "clan_acc")
@@ -364,7 +364,7 @@ def p03_chopping_round_trip(spark, folder):
 round(greatest(0, least(t.e, p.seq_end) - greatest(t.s, p.seq_start) + 1) * 100.0::double / (t.e - t.s + 1), 4) as percent,
 round(case when greatest(t.s, p.seq_start) >= least(t.e, p.seq_end) then 0::double else (least(t.e, p.seq_end) - greatest(t.s, p.seq_start) + 1) / least(t.e - t.s + 1, p.seq_end - p.seq_start + 1) end, 6) as of_shorter,
 round(greatest(0::double, 1 - abs(t.s - p.seq_start) / 10.0::double), 6) as start_similarity
-from segs t join fx_pfam p on p.acc = t.acc and t.s <= p.seq_end and p.seq_start <= t.e""",
+from segs t join fx_family p on p.acc = t.acc and t.s <= p.seq_end and p.seq_start <= t.e""",
     _SEGS,
 )
 def p04_overlap_measures(spark, folder):

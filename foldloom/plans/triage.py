@@ -121,34 +121,28 @@ def p23_replace_description(spark, folder):
     return fx.tagged_records(spark, folder).select("doc_id", cu.set_tag("rec", "DE", F.lit("new text"), "ID").alias("rec"))
 
 
-_FLAT = """flat as (select doc_id, 10 * k as base, unnest([concat('RN   [', k, ']'), case when (doc_id + k) % 3 = 0 then 'RP   NUCLEOTIDE SEQUENCE.' else 'RP   STRUCTURE.' end, 'RL   J. X. 1:2.']) as line, generate_subscripts([1, 2, 3], 1) as sub
-  from documents, unnest([1, 2]) as u(k)),
-rest as (select doc_id, 100 + i as place, line from (select doc_id, unnest([case when doc_id % 2 = 0 then 'DR   STRING; 1.x;' else 'DR   PDB; 1abc;' end, concat('FT   ', case doc_id % 4 when 0 then 'HELIX' when 1 then 'DOMAIN' else 'REGION' end, '   1..5'),
-  case when doc_id % 4 = 3 then 'FT                   /note="Disordered"' else 'FT                   /note="x"' end, 'SQ   SEQ']) as line, unnest([1, 2, 3, 4]) as i from documents))"""
+_FLAT = """flat as (select doc_id, 10 * k as base, (k = 1 and source = 'git_log') or (k = 2 and author is null) as mapped,
+  unnest([concat('RN   [', k, ']'), case when (k = 1 and source = 'git_log') or (k = 2 and author is null) then 'RP   NUCLEOTIDE SEQUENCE.' else 'RP   STRUCTURE.' end, 'RL   J. X. 1:2.']) as line,
+  generate_subscripts([1, 2, 3], 1) as sub from documents, unnest([1, 2]) as u(k)),
+rest as (select doc_id, source, author, 100 + i as place, line from (select doc_id, source, author, unnest([case when author is null then 'DR   PDB; 1abc;' else 'DR   STRING; 1.x;' end,
+  concat('FT   ', case source when 'git_log' then 'HELIX' when 'mail_patch' then 'DOMAIN' else 'REGION' end, '   1..5'),
+  case when source = 'web_hook' then 'FT                   /note="Disordered"' else 'FT                   /note="x"' end, 'SQ   SEQ']) as line, unnest([1, 2, 3, 4]) as i from documents))"""
 
 
 def _flat(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id")
-    refs = docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select(
-        "doc_id",
-        "k",
-        F.posexplode(F.expr("array(concat('RN   [', k, ']'), case when (doc_id + k) % 3 = 0 then 'RP   NUCLEOTIDE SEQUENCE.' else 'RP   STRUCTURE.' end, 'RL   J. X. 1:2.')")).alias("i", "line"),
-    )
-    rest = docs.select(
-        "doc_id",
-        F.posexplode(
-            F.expr(
-                """array(case when doc_id % 2 = 0 then 'DR   STRING; 1.x;' else 'DR   PDB; 1abc;' end, concat('FT   ', case doc_id % 4 when 0 then 'HELIX' when 1 then 'DOMAIN' else 'REGION' end, '   1..5'),
-case when doc_id % 4 = 3 then 'FT                   /note="Disordered"' else 'FT                   /note="x"' end, 'SQ   SEQ')"""
-            )
-        ).alias("i", "line"),
-    )
+    docs = table(spark, folder, "documents").select("doc_id", "source", "author")
+    first = """array(concat('RN   [', k, ']'), case when (k = 1 and source = 'git_log') or (k = 2 and author is null) then 'RP   NUCLEOTIDE SEQUENCE.' else 'RP   STRUCTURE.' end, 'RL   J. X. 1:2.')"""
+    second = """array(case when author is null then 'DR   PDB; 1abc;' else 'DR   STRING; 1.x;' end,
+concat('FT   ', case source when 'git_log' then 'HELIX' when 'mail_patch' then 'DOMAIN' else 'REGION' end, '   1..5'),
+case when source = 'web_hook' then 'FT                   /note="Disordered"' else 'FT                   /note="x"' end, 'SQ   SEQ')"""
+    refs = docs.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).select("doc_id", "k", F.posexplode(F.expr(first)).alias("i", "line"))
+    rest = docs.select("doc_id", F.posexplode(F.expr(second)).alias("i", "line"))
     return refs.select("doc_id", (F.col("k") * 10 + F.col("i") + 1).alias("place"), "line").unionAll(rest.select("doc_id", (F.col("i") + 101).alias("place"), "line"))
 
 
 @query(
-    """select doc_id, cast(base + sub as integer) as place, line from flat where (doc_id + base / 10) % 3 <> 0
-union all select doc_id, place, line from rest where not (place = 101 and doc_id % 2 = 1) and not (place in (102, 103) and doc_id % 4 in (0, 3))""",
+    """select doc_id, cast(base + sub as integer) as place, line from flat where not mapped
+union all select doc_id, place, line from rest where not (place = 101 and author is null) and not (place in (102, 103) and source in ('git_log', 'web_hook'))""",
     _FLAT,
 )
 def p22_filter_flat_file(spark, folder):
@@ -162,13 +156,13 @@ def _sequences(spark, folder):
     return table(spark, folder, "part").select(F.col("p_partkey").alias("acc"), F.repeat(F.upper(F.regexp_replace("p_name", "[^A-Za-z]", "")), F.lit(9)).alias("seq"))
 
 
-@query("select r.okey, r.ln, r.acc, r.fam, substr(s.seq, r.seq_start, least(r.seq_end, length(s.seq)) - r.seq_start + 1) as part from fx_pfam r join seqs s on s.acc = r.acc where r.seq_start <= length(s.seq)", _SEQ)
+@query("select r.okey, r.ln, r.acc, r.fam, substr(s.seq, r.seq_start, least(r.seq_end, length(s.seq)) - r.seq_start + 1) as part from fx_family r join seqs s on s.acc = r.acc where r.seq_start <= length(s.seq)", _SEQ)
 def p39_sequence_slices(spark, folder):
     rows = fx.family_regions(spark, folder).join(_sequences(spark, folder), "acc").where("seq_start <= length(seq)")
     return rows.select("okey", "ln", "acc", "fam", F.expr("substr(seq, cast(seq_start as int), cast(least(seq_end, length(seq)) - seq_start + 1 as int))").alias("part"))
 
 
-@query("select acc, count(*) filter (matches) as n_same, count(*) as n from (select r.acc, substr(s.seq, r.seq_start, 20) = substr(repeat(substr(s.seq, 1, length(s.seq) // 9), 30), r.seq_start, 20) as matches from fx_pfam r join seqs s on s.acc = r.acc where r.seq_start + 20 <= length(s.seq)) group by acc", _SEQ)
+@query("select acc, count(*) filter (matches) as n_same, count(*) as n from (select r.acc, substr(s.seq, r.seq_start, 20) = substr(repeat(substr(s.seq, 1, length(s.seq) // 9), 30), r.seq_start, 20) as matches from fx_family r join seqs s on s.acc = r.acc where r.seq_start + 20 <= length(s.seq)) group by acc", _SEQ)
 def p38_sequence_agreement(spark, folder):
     rows = fx.family_regions(spark, folder).join(_sequences(spark, folder), "acc").where("seq_start + 20 <= length(seq)")
     same = F.expr("substr(seq, cast(seq_start as int), 20) = substr(repeat(substr(seq, 1, cast(length(seq) div 9 as int)), 30), cast(seq_start as int), 20)")

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}  # by application: the folder of a local session that names none
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only a local session without one gets a folder of this machine."""
+    """The cluster's checkpoint folder. Only a local session without one gets a folder of this machine, until it ends."""
     key = "spark.checkpoint.dir"
-    at = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError(f"{key} must name a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="foldloom-")
-        spark.conf.set(key, at)
-    return at
+    context = spark.sparkContext
+    at = spark.conf.get(key, None) or context.getConf().get(key)
+    if at:
+        return at
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError(f"{key} must name a folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="foldloom-")
+        atexit.register(shutil.rmtree, _own[context.applicationId], ignore_errors=True)
+    return _own[context.applicationId]
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:

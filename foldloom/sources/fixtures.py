@@ -119,7 +119,7 @@ SQL = {
   l_discount * 0.01::double as evalue from lineitem""",
     "fx_ted": """select okey, ln, acc, fam, cath, case when ln % 2 = 1 then concat(s, '-', e) else concat(s, '-', s + 9, '_', s + 15, '-', e) end as chopping,
   case when ln % 3 = 0 then 'high' when ln % 3 = 1 then 'medium' else 'low' end as consensus_level from fx_region where src = 'F'""",
-    "fx_pfam": "select okey, ln, acc, s as seq_start, e as seq_end, fam, evalue from fx_region where src = 'O'",
+    "fx_family": "select okey, ln, acc, s as seq_start, e as seq_end, fam, evalue from fx_region where src = 'O'",
     "fx_clan": "select s_suppkey as fam, case when s_nationkey % 5 = 0 then null else s_nationkey end as clan_acc, s_name as fam_id from supplier",
     "fx_links": "select l_suppkey as p1, l_partkey as p2, l_linenumber as taxid, cast(floor(l_extendedprice) as bigint) % 1000 as score from lineitem",
     "fx_align": f"""select line_id, family, x.acc as acc, cast(x.a as bigint) as first, cast(x.b as bigint) as last, x.aln as aln
@@ -138,7 +138,7 @@ SQL = {
   case when n_chars % 3 = 0 then 'Domain' when n_chars % 3 = 1 then 'Family' else 'Repeat' end, '|RN   [1]|RM   ', 1000000 + n_chars, '|CC   ', coalesce(lang, '')) as rec
   from documents where text is not null""",
 }
-NEEDS = {"fx_ted": ["fx_region"], "fx_pfam": ["fx_region"]}
+NEEDS = {"fx_ted": ["fx_region"], "fx_family": ["fx_region"]}
 
 
 def with_views(sql: str, more: str = "") -> str:

@@ -42,6 +42,7 @@ def by_delimiter(df: DataFrame, fields: dict[str, str], sep: str = "\t", comment
     return rows.drop("_cells")
 
 
+# fixed format of a hit line: number, target, probability, E-value, P-value, score, structure score, columns, ranges, (length)
 PROFILE_HIT = r"^\s*(\d+)\s+(\S+)\s+([\d.]+)\s+([\d.eE+-]+)\s+([\d.eE+-]+)\s+([\d.]+)\s+(-?[\d.]+)\s+(\d+)\s+(\d+-\d+)\s+(\d+-\d+)\s*\((\d+)\)"
 
 
