@@ -26,7 +26,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # fixed by the vocabulary: how it cuts text into words
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-KNOWN_WORDS = 1 << 20  # words whose encoding a worker keeps
+KNOWN_WORDS = 1 << 19  # words whose encoding a worker keeps
+KNOWN_PAIRS = 1 << 20  # pairs of tokens of which it keeps whether the second may follow the first
 
 
 class Encoder:
@@ -34,33 +35,36 @@ class Encoder:
 
     def __init__(self, path: str, known_words: int = KNOWN_WORDS):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
-        self.longest = max(map(len, self.ranks))
+        self.longest, self.tokens = max(map(len, self.ranks)), {rank: token for token, rank in self.ranks.items()}
         self.known_words, self.known = known_words, {}
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.cut_any, self.cut_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN, re.ASCII).findall
 
-    def may_follow(self, a: bytes, b: bytes) -> bool:
-        """Whether merging the bytes of a + b by rank ends in the tokens a, b."""
-        seen = self.follows.get((a, b))
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether merging the bytes of the tokens a and b by rank ends in just these two."""
+        key = a << 32 | b
+        seen = self.follows.get(key)
         if seen is None:
-            ranks, parts = self.ranks, [bytes([x]) for x in a + b]
+            ranks, first, second = self.ranks, self.tokens[a], self.tokens[b]
+            parts = [bytes([x]) for x in first + second]
             while len(parts) > 1:
-                rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
-                if rank == 1 << 30:
+                rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 32), i) for i in range(len(parts) - 1))
+                if rank == 1 << 32:
                     break
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            seen = self.follows[a, b] = parts == [a, b]
-            if len(self.follows) > 4 * self.known_words:
+            if len(self.follows) >= KNOWN_PAIRS:
                 self.follows.clear()
+            seen = self.follows[key] = parts == [first, second]
         return seen
 
     def learn(self, words: list[str]) -> None:
         """Encodes words, sorted as bytes; the state of a prefix that the next word shares is kept."""
-        ranks, longest, known = self.ranks, self.longest, self.known
-        path, last = b"", [b""]  # last[i]: last token of path[:i]
+        rank_of, longest, known, tokens, follows = self.ranks.get, self.longest, self.known, self.tokens, self.may_follow
+        path, last = b"", [-1]  # last[i]: last token of path[:i]
         for raw, word in sorted((w.encode(), w) for w in words):
-            if raw in ranks:
-                known[word] = (ranks[raw],)
+            whole = rank_of(raw)
+            if whole is not None:
+                known[word] = (whole,)
                 continue
             shared, most = 0, min(len(path), len(raw))
             while shared < most and path[shared] == raw[shared]:
@@ -68,14 +72,14 @@ class Encoder:
             del last[shared + 1 :]
             for end in range(shared + 1, len(raw) + 1):
                 for begin in range(max(0, end - longest), end):
-                    token = raw[begin:end]
-                    if token in ranks and (not begin or self.may_follow(last[begin], token)):
+                    token = rank_of(raw[begin:end])
+                    if token is not None and (not begin or follows(last[begin], token)):
                         last.append(token)
                         break
             path, ids, end = raw, [], len(raw)
             while end:
-                ids.append(ranks[last[end]])
-                end -= len(last[end])
+                ids.append(last[end])
+                end -= len(tokens[last[end]])
             known[word] = tuple(reversed(ids))
 
     def words(self, text: str) -> list[str]:
