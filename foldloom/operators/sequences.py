@@ -14,30 +14,66 @@ from foldloom.operators.lookup import lookup
 from foldloom.scratch import cut
 
 
+def _with_words(df: DataFrame, group: str | None, key: str, sequence: str, k: int, *more: str) -> DataFrame:
+    """g, id, len and the sorted hashes of the sequence's words of length k (with the group mixed in); one row each."""
+    g = F.col(group) if group else F.lit(0)
+    text = F.upper(F.col(sequence))
+    starts = F.sequence(F.lit(1), F.length(text) - k + 1)
+    words = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(g, F.substr(text, i, F.lit(k)))))
+    rows = df.where(F.length(sequence) >= k).select(g.alias("g"), F.col(key).alias("id"), F.length(sequence).alias("len"), F.sort_array(words).alias("words"), *more)
+    rows = rows.where("g is not null and id is not null")
+    rest = [F.max(c).alias(c) for c in ("len", "words", *more)]
+    return cut(rows.groupBy("g", "id").agg(*rest), "sequences")
+
+
+def _candidates(rows: DataFrame, kept: int) -> DataFrame:
+    """g, id, centre: of the sequences that share one of their `kept` words of smallest hash, each with the longest."""
+    few = rows.select("g", "id", "len", F.explode(F.slice("words", 1, kept)).alias("word"))
+    centres = few.groupBy("word").agg(F.max(F.struct("len", (-F.col("id")).alias("minus"))).alias("c"))
+    centres = centres.select(F.col("word").alias("w"), (-F.col("c.minus")).alias("centre"))
+    return lookup(few, "word", centres, "w").where("id <> centre").select("g", "id", "centre").distinct()
+
+
+def _representatives(rows: DataFrame, alike: DataFrame, key: str) -> DataFrame:
+    """key and representative: the longest pick first and take those alike."""
+    nodes = rows.select("g", "id", (-F.col("len")).alias("rank"))
+    picks = greedy_picks(nodes, alike.select("g", F.col("id").alias("a"), F.col("centre").alias("b")), "g", "id", "rank")
+    return picks.select(F.col("id").alias(key), F.col("head").alias("representative"))
+
+
 def sequence_clusters(df: DataFrame, key: str, sequence: str, k: int = 5, kept: int = 20, similarity: float = 0.5) -> DataFrame:
-    """key and representative of each sequence with at least one word of length k; others stand alone.
+    """key and representative of each sequence with at least one word of length k; others have no row.
 
     Each sequence gives its `kept` words of smallest hash; of the sequences that share a word only the longest (ties:
     the smallest key) is compared with the others, so the pairs grow with the words, not with their square. A pair
     counts if it shares at least `similarity` of the words of the shorter. Then the longest sequences pick first, and
     take those similar to them.
     """
-    text = F.upper(F.col(sequence))
-    starts = F.sequence(F.lit(1), F.length(text) - k + 1)
-    words = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substr(text, i, F.lit(k)))))
-    rows = df.where(F.length(sequence) >= k).select(F.col(key).alias("id"), F.length(sequence).alias("len"), F.sort_array(words).alias("words"))
-    rows = cut(rows.groupBy("id").agg(F.max("len").alias("len"), F.max("words").alias("words")), "sequences")
-    few = rows.select("id", "len", F.explode(F.slice("words", 1, kept)).alias("word"))
-    centres = few.groupBy("word").agg(F.max(F.struct("len", (-F.col("id")).alias("minus"))).alias("c"))
-    centres = centres.select(F.col("word").alias("w"), (-F.col("c.minus")).alias("centre"))
-    pairs = lookup(few, "word", centres, "w").where("id <> centre").select("id", "centre").distinct()
+    rows = _with_words(df, None, key, sequence, k)
     own = rows.select("id", F.col("words").alias("a"))
     other = rows.select(F.col("id").alias("centre"), F.col("words").alias("b"))
-    both = pairs.join(own, "id").join(other, "centre")
+    both = _candidates(rows, kept).join(own, "id").join(other, "centre")
     alike = both.where(F.size(F.array_intersect("a", "b")) >= similarity * F.least(F.size("a"), F.size("b")))
-    nodes = rows.select(F.lit(0).alias("g"), "id", (-F.col("len")).alias("rank"))
-    picks = greedy_picks(nodes, alike.select(F.lit(0).alias("g"), F.col("id").alias("a"), F.col("centre").alias("b")), "g", "id", "rank")
-    return picks.select(F.col("id").alias(key), F.col("head").alias("representative"))
+    return _representatives(rows, alike, key)
+
+
+def non_redundant(df: DataFrame, family: str, key: str, aln: str, identity: float = 0.8, k: int = 4, kept: int = 20) -> DataFrame:
+    """key and representative of each aligned row: in a family the row with most residues picks first, and takes those
+    that have the same residue as it in at least `identity` of the columns where both have one.
+
+    Candidates are found as in sequence_clusters, by words of the residues; so rows that share none of their kept words
+    with a longer one stay, even if they are alike.
+    """
+    rows = _with_words(df.withColumn("_seq", F.regexp_replace(aln, "[.-]", "")).withColumn("aligned", F.upper(F.col(aln))), family, key, "_seq", k, "aligned")
+    own = rows.select("g", "id", F.col("aligned").alias("a"))
+    other = rows.select("g", F.col("id").alias("centre"), F.col("aligned").alias("b"))
+    both = _candidates(rows, kept).join(own, ["g", "id"]).join(other, ["g", "centre"])
+    gap = lambda c: c.isin("-", ".") | c.isNull()
+    columns = F.zip_with(F.split("a", ""), F.split("b", ""), lambda x, y: F.when(~gap(x) & ~gap(y), (x == y).cast("int")))
+    shared = F.filter(columns, lambda v: v.isNotNull())
+    same = F.aggregate(shared, F.lit(0), lambda n, v: n + v)
+    alike = both.select("g", "id", "centre", F.size(shared).alias("n"), same.alias("same")).where((F.col("n") > 0) & (F.col("same") >= identity * F.col("n")))
+    return _representatives(rows, alike, key)
 
 
 def superposed(pairs: DataFrame, key: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from foldloom.operators import structure as st
 from foldloom.operators.greedy import first_for_both_keys, greedy_picks
 from foldloom.operators.intervals import overlap_join
 from foldloom.operators.islands import core_segments, merged, runs, without_intrusions
-from foldloom.operators.sequences import sequence_clusters, superposed
+from foldloom.operators.sequences import non_redundant, sequence_clusters, superposed
 from foldloom.plans.mapping import _midpoint_pairs
 from foldloom.plans.registry import Plans
 from foldloom.plans.structure import _BR, _E, REACH, SIGMA, _bridges, _edges, _figures, _members
@@ -346,6 +346,11 @@ def x25_transitively_merged(spark, folder):
     return st.components(_density(spark, folder).where("density > 0.02"), "prot", "a", "b")
 
 
+@query()
+def x40_non_redundant_rows(spark, folder):
+    return non_redundant(fx.alignment(spark, folder), "family", "line_id", "aln")
+
+
 @query()
 def x41_sequence_clusters(spark, folder):
     rows = fx.alignment(spark, folder).select("line_id", F.regexp_replace("aln", "[.-]", "").alias("seq"))

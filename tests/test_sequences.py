@@ -2,7 +2,7 @@ import math
 import random
 
 from foldloom.operators.islands import core_segments, without_intrusions
-from foldloom.operators.sequences import sequence_clusters, superposed
+from foldloom.operators.sequences import non_redundant, sequence_clusters, superposed
 from foldloom.operators.structure import extended, predicted_domains
 
 
@@ -45,3 +45,14 @@ def test_extension_and_prediction(spark):
     edges = spark.createDataFrame([("p", k, k + 1, 1.0) for k in range(1, 40)], "prot string, i int, j int, w double")
     core = spark.createDataFrame([("p", k, 1) for k in range(1, 6)], "prot string, idx int, dom int")
     assert extended(res, edges, core, least=10).count() == 40
+
+
+def test_non_redundant(spark):
+    r = random.Random(4)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    first, second = ("".join(r.choice(letters) for _ in range(60)) for _ in range(2))
+    near = "".join("-" if k % 17 == 5 else "W" if k % 11 == 3 else c for k, c in enumerate(first))  # over four fifths equal
+    far = "".join(c if k % 2 else r.choice(letters) for k, c in enumerate(first))
+    rows = [("f", 1, first), ("f", 2, near), ("f", 3, second), ("f", 4, first), ("g", 5, near), ("f", 6, far), (None, 7, first), ("f", 8, "--")]
+    got = {x["id"]: x["representative"] for x in non_redundant(spark.createDataFrame(rows, "fam string, id bigint, aln string"), "fam", "id", "aln").collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6}
