@@ -73,6 +73,7 @@ CASES = [
     ("+'Søren O'Kastani', x", [("name", "Søren O'Kastani")]),
     ("+hana nørracott,1", [("name", "hana nørracott")]),
     ("+F. Unknown;1\n+hana unknown\t2\nsee F. Unknown, or hana unknown", [("name", "F. Unknown"), ("name", "hana unknown")]),
+    ("Gemeldet von Kastani, Søren <x>, with de la Falsmark, Hana or von Falsmark, Hana", [("name", "Kastani, Søren"), ("name", "de la Falsmark, Hana"), ("name", "von Falsmark, Hana")]),
     ("Agreed with Unknown, Hana.", [("name", "Unknown, Hana")]),
     ("Søren Kastani, Hana and others", [("name", "Søren Kastani")]),
     ("ask Hana about Release Notes", []),
