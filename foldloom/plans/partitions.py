@@ -354,7 +354,8 @@ def x40_non_redundant_rows(spark, folder):
 @query()
 def x41_sequence_clusters(spark, folder):
     rows = fx.alignment(spark, folder).select("line_id", F.regexp_replace("aln", "[.-]", "").alias("seq"))
-    return sequence_clusters(rows, "line_id", "seq")
+    short = rows.where("length(seq) between 1 and 4").select("line_id", F.col("line_id").alias("representative"))  # no word of 5
+    return sequence_clusters(rows, "line_id", "seq").unionByName(short)
 
 
 @query()

@@ -56,3 +56,45 @@ def test_non_redundant(spark):
     rows = [("f", 1, first), ("f", 2, near), ("f", 3, second), ("f", 4, first), ("g", 5, near), ("f", 6, far), (None, 7, first), ("f", 8, "--")]
     got = {x["id"]: x["representative"] for x in non_redundant(spark.createDataFrame(rows, "fam string, id bigint, aln string"), "fam", "id", "aln").collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 6}
+
+
+def _greedy(rows, alike):
+    """rows of (key, text), longest first: what one pass decides."""
+    heads, picked = {}, []
+    for key, text in sorted(rows, key=lambda x: (-len(x[1].replace("-", "")), x[0])):
+        heads[key] = next((p for p, other in picked if alike(text, other)), key)
+        if heads[key] == key:
+            picked.append((key, text))
+    return heads
+
+
+def test_clusters_with_common_words_in_longer_rows(spark):
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    core = text(40)
+    rows = [(1, core + text(20)), (2, core + text(20)), (3, core[:22] + text(120)), (4, core[18:] + text(120)), (5, text(60) + core[10:32] + text(60)), (6, core + text(20))]
+    pool = [text(15) for _ in range(12)]
+    rows += [(100 + k, "".join(r.choice(pool) for _ in range(r.randint(1, 8)))) for k in range(80)]
+    words = lambda s: {s[i : i + 5] for i in range(len(s) - 4)}
+    want = _greedy(rows, lambda a, b: len(words(a) & words(b)) >= 0.5 * min(len(words(a)), len(words(b))))
+    got = sequence_clusters(spark.createDataFrame(rows, "k bigint, s string"), "k", "s").collect()
+    assert want[2] == want[6] == 1 and {x["k"]: x["representative"] for x in got} == want
+
+
+def test_non_redundant_compares_all_rows(spark, monkeypatch):
+    monkeypatch.setattr("foldloom.operators.sequences.BLOCK", 16)  # several blocks of a family
+    r = random.Random(9)
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    text = lambda n: "".join(r.choice(letters) for _ in range(n))
+    base = text(50)
+    rows = [(1, base + "-"), (2, base[:-1] + "--"), (3, "W" + base), (4, "AC" + "-" * 49)]
+    seeds = [text(50) for _ in range(6)]
+    rows += [(10 + k, "".join("-" if r.random() < 0.1 else r.choice(letters) if r.random() < 0.12 else c for c in seeds[k % 6])) for k in range(60)]
+
+    def alike(a, b):
+        both = [x == y for x, y in zip(a, b) if x != "-" and y != "-"]
+        return bool(both) and sum(both) >= 0.8 * len(both)
+
+    got = non_redundant(spark.createDataFrame([("f", *x) for x in rows], "fam string, id bigint, aln string"), "fam", "id", "aln").collect()
+    want = _greedy(rows, alike)
+    assert want[2] == 1 and {x["id"]: x["representative"] for x in got} == want
