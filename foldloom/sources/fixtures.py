@@ -103,11 +103,13 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def tagged_records(spark: SparkSession, folder: str) -> DataFrame:
-    """Flat-file records, their tagged lines joined by a pipe."""
+def tagged_records(spark: SparkSession, folder: str, most: int | None = 30) -> DataFrame:
+    """Flat-file records, their tagged lines joined by a pipe; at most `most` letters of a text (view fx_desc), or all (fx_desc_all)."""
+    text = "regexp_replace(text, '[^A-Za-z]', ' ')"
+    text = f"substr({text}, 1, {most})" if most else text
     return table(spark, folder, "documents").where("text is not null").selectExpr(
         "doc_id",
-        "concat('ID   D', doc_id, '|DE   ', substr(regexp_replace(text, '[^A-Za-z]', ' '), 1, 30), '|TP   ',"
+        f"concat('ID   D', doc_id, '|DE   ', {text}, '|TP   ',"
         " case when n_chars % 3 = 0 then 'Domain' when n_chars % 3 = 1 then 'Family' else 'Repeat' end,"
         " '|RN   [1]|RM   ', 1000000 + n_chars, '|CC   ', coalesce(lang, '')) as rec",
     )
@@ -138,6 +140,9 @@ SQL = {
   case when n_chars % 3 = 0 then 'Domain' when n_chars % 3 = 1 then 'Family' else 'Repeat' end, '|RN   [1]|RM   ', 1000000 + n_chars, '|CC   ', coalesce(lang, '')) as rec
   from documents where text is not null""",
 }
+SQL["fx_desc_all"] = """select doc_id, concat('ID   D', doc_id, '|DE   ', regexp_replace(text, '[^A-Za-z]', ' ', 'g'), '|TP   ',
+  case when n_chars % 3 = 0 then 'Domain' when n_chars % 3 = 1 then 'Family' else 'Repeat' end, '|RN   [1]|RM   ', 1000000 + n_chars, '|CC   ', coalesce(lang, '')) as rec
+  from documents where text is not null"""
 NEEDS = {"fx_ted": ["fx_region"], "fx_family": ["fx_region"]}
 
 
