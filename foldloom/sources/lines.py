@@ -91,7 +91,7 @@ def truth_lines(df: DataFrame) -> DataFrame:
     """`acc s-e_s-e s-e`: acc, choppings and whether the entry is excluded ('?'); no domains make an empty array."""
     cells = F.filter(F.split(F.btrim("line"), r"\s+"), lambda x: x != "")
     rows = df.where(~F.btrim("line").startswith("#") & (F.btrim("line") != "")).withColumn("_cells", cells)
-    rest = F.slice("_cells", 2, 10_000)
+    rest = F.slice("_cells", 2, F.size("_cells"))
     return rows.select("*", F.get("_cells", F.lit(0)).alias("acc"), F.filter(rest, lambda x: x.rlike(r"^\d+-\d+(_\d+-\d+)*$")).alias("choppings"), F.array_contains(rest, "?").alias("excluded")).drop("_cells")
 
 
