@@ -125,12 +125,12 @@ def disorder(residues: DataFrame, cutoff: float, window: int = 10, tail: int = 3
     return rows.drop("_starts", "_window")
 
 
-def communities(edges: DataFrame, rounds: int = 16) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """prot, idx, dom: communities by weighted label propagation over all proteins at once.
 
     Every residue wants the label with the largest weight among its neighbours (ties: the smallest label). In each round
     about half of them, by a hash that differs from round to round, take it, so that neighbours don't swap labels for
-    ever; it ends when nobody wants another, or after `rounds`. Residues without contacts have no row.
+    ever; it ends when nobody wants another, and raises if that takes more than `rounds`. Residues without contacts have no row.
     """
     both = cut(edges.select("prot", F.col("i").alias("u"), F.col("j").alias("v"), "w").unionAll(edges.select("prot", "j", "i", "w")), "edges")
     labels = both.select("prot", F.col("u").alias("v"), F.col("u").alias("dom")).distinct()
@@ -142,8 +142,8 @@ def communities(edges: DataFrame, rounds: int = 16) -> DataFrame:
         new = cut(labels.join(wanted, ["prot", "v"]).select("prot", "v", F.when(moves, F.col("want")).otherwise(F.col("dom")).alias("new"), (F.col("want") != F.col("dom")).alias("wants")), "labels")
         labels = new.select("prot", "v", F.col("new").alias("dom"))
         if new.where("wants").isEmpty():
-            break
-    return labels.select("prot", F.col("v").alias("idx"), "dom")
+            return labels.select("prot", F.col("v").alias("idx"), "dom")
+    raise RuntimeError(f"communities have not settled in {rounds} rounds")
 
 
 def components(edges: DataFrame, group: str, a: str, b: str) -> DataFrame:
@@ -165,23 +165,26 @@ def components(edges: DataFrame, group: str, a: str, b: str) -> DataFrame:
             return labels
 
 
-def grown(edges: DataFrame, seeds: DataFrame, min_weight: float, rounds: int = 10) -> DataFrame:
+def grown(edges: DataFrame, seeds: DataFrame, min_weight: float, min_size: int = 1) -> DataFrame:
     """prot, idx, dom: domains grown from seeds, all at the same time.
 
     In each round every free residue joins the domain to whose members its contacts weigh most, if at least
-    min_weight (ties: the smallest domain); membership changes only after all have been weighed.
+    min_weight (ties: the smallest domain); membership changes only after all have been weighed. Then domains of less
+    than min_size residues dissolve and set theirs free. It ends when nothing changes: no domain comes back, so it does.
     """
     both = cut(edges.select("prot", F.col("i").alias("u"), F.col("j").alias("idx"), "w").unionAll(edges.select("prot", "j", "i", "w")), "edges")
     members = seeds.select("prot", "idx", "dom")
-    for _ in range(rounds):
+    while True:
         free = both.join(members.select("prot", F.col("idx").alias("u")), ["prot", "u"], "left_anti")
         pulls = free.join(members, ["prot", "idx"]).groupBy("prot", "u", "dom").agg(F.round(F.sum("w"), 9).alias("pull")).where(F.col("pull") >= min_weight)
         joins = pulls.groupBy("prot", "u").agg(F.max(F.struct("pull", (-F.col("dom")).alias("minus"))).alias("best"))
         joins = cut(joins.select("prot", F.col("u").alias("idx"), (-F.col("best.minus")).alias("dom")), "joins")
-        if joins.isEmpty():
-            break
         members = cut(members.unionByName(joins), "members")
-    return members
+        dead = cut(members.groupBy("prot", "dom").agg(F.count("*").alias("n")).where(F.col("n") < min_size).select("prot", "dom"), "dead")
+        if not dead.isEmpty():
+            members = cut(members.join(dead, ["prot", "dom"], "left_anti").select("prot", "idx", "dom"), "members")
+        elif joins.isEmpty():
+            return members
 
 
 def nearest_seed(residues: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -191,13 +194,16 @@ def nearest_seed(residues: DataFrame, seeds: DataFrame) -> DataFrame:
     return rows.select("prot", "idx", "best.dom")
 
 
-def kmeans(residues: DataFrame, seeds: DataFrame, rounds: int = 5) -> DataFrame:
-    """prot, idx, dom after `rounds` of moving each seed to the middle of its residues, for all proteins at once."""
+def kmeans(residues: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
+    """prot, idx, dom after moving each seed to the middle of its residues, for all proteins at once, until no residue changes
+    its seed; raises if that takes more than `rounds`."""
     found = cut(nearest_seed(residues, seeds), "assigned")
     for _ in range(rounds):
         centres = residues.join(found, ["prot", "idx"]).groupBy("prot", "dom").agg(*[F.round(F.avg(a), 6).alias(f"s{a}") for a in "xyz"])
-        found = cut(nearest_seed(residues, centres), "assigned")
-    return found
+        before, found = found, cut(nearest_seed(residues, centres), "assigned")
+        if found.join(before, ["prot", "idx", "dom"], "left_anti").isEmpty():
+            return found
+    raise RuntimeError(f"k-means has not settled in {rounds} rounds")
 
 
 def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
