@@ -347,11 +347,12 @@ def x44_structure_content(spark, folder):
 
 @query("select a.prot, cast(a.idx as integer) as i, cast(b.idx as integer) as j, cast(abs(a.idx - b.idx) as double) as pae from fx_res a join fx_res b on b.prot = a.prot")
 def s22_aligned_errors(spark, folder):
-    sizes = fx.residues(spark, folder).groupBy("prot").agg(F.max("idx").alias("n"))
-    one = F.sequence(F.lit(1), F.col("n"))
-    matrix = F.transform(one, lambda i: F.transform(one, lambda j: F.abs(i - j).cast("double")))
-    lines = sizes.select("prot", F.to_json(F.struct(matrix.alias("predicted_aligned_error"))).alias("line"))
-    return aligned_errors(lines).select("prot", "i", "j", "pae")
+    """One line for each row of a protein's matrix."""
+    residues = fx.residues(spark, folder).select("prot", F.col("idx").alias("at"))
+    sizes = residues.groupBy("prot").agg(F.max("at").alias("n"))
+    row = F.transform(F.sequence(F.lit(1), F.col("n")), lambda j: F.abs(F.col("at") - j).cast("double"))
+    lines = residues.join(sizes, "prot").select("prot", "at", F.to_json(F.struct(F.array(row).alias("predicted_aligned_error"))).alias("line"))
+    return aligned_errors(lines).select("prot", F.col("at").alias("i"), "j", "pae")
 
 
 @query()
