@@ -37,6 +37,17 @@ def neighbourhood(edges: DataFrame, a: str, b: str, start: DataFrame, node: str,
     return seen
 
 
+def neighbourhoods(edges: DataFrame, a: str, b: str, starts: DataFrame, node: str, hops: int) -> DataFrame:
+    """start, node and hop for each node within `hops` steps of each of starts, as neighbourhood gives them for one set."""
+    both = cut(edges.select(F.col(a).alias("from"), F.col(b).alias("to")).unionAll(edges.select(F.col(b).alias("from"), F.col(a).alias("to"))).distinct(), "links")
+    seen = starts.select(F.col(node).alias("start"), F.col(node).alias("node")).where("start is not null").distinct().withColumn("hop", F.lit(0))
+    for hop in range(1, hops + 1):
+        reached = seen.where(F.col("hop") == hop - 1).join(both, F.col("node") == F.col("from")).select("start", F.col("to").alias("node")).distinct()
+        fresh = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        seen = cut(seen.unionByName(fresh), "hops")
+    return seen
+
+
 def domain_frequencies(memberships: DataFrame, network: str, domain: str, min_frequency: float = 0.3, min_networks: int = 5, min_bound: float = 0.0) -> DataFrame:
     """Of each domain in how many networks it occurs, the share of all networks, and its Wilson lower bound."""
     total = memberships.agg(F.countDistinct(network).alias("n_all"))

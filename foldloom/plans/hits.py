@@ -9,7 +9,7 @@ from foldloom.functions import intervals as iv
 from foldloom.functions.keys import accession
 from foldloom.functions.scores import evalue_class, score_class, structure_probability, wilson_lower_bound
 from foldloom.operators.intervals import overlap_join
-from foldloom.operators.networks import best_edges, domain_frequencies, family_statistics, first_per_key, methods_side_by_side, neighbourhood
+from foldloom.operators.networks import best_edges, domain_frequencies, family_statistics, first_per_key, methods_side_by_side, neighbourhood, neighbourhoods
 from foldloom.plans.registry import Plans
 from foldloom.sources import fixtures as fx
 from foldloom.sources import lines as tx
@@ -327,6 +327,19 @@ def x02_neighbourhood(spark, folder):
     return neighbourhood(edges, "p1", "p2", spark.range(1, 2), "id", 2)
 
 
+@query(
+    """select start, node, cast(min(hop) as integer) as hop from walk group by start, node""",
+    """both_ways as (select distinct p1 as a, p2 + 1000000 as b from fx_links where score >= 400 union select distinct p2 + 1000000, p1 from fx_links where score >= 400),
+walk as (select p1 as start, p1 as node, 0 as hop from fx_links union select p2 + 1000000, p2 + 1000000, 0 from fx_links
+union select w.start, b.b, w.hop + 1 from walk w join both_ways b on b.a = w.node where w.hop < 2)""",
+)
+def x02_neighbourhood_all(spark, folder):
+    """Of every protein that has a link, whatever its score."""
+    links = fx.links(spark, folder).selectExpr("p1", "p2 + 1000000 as p2", "score")
+    starts = links.select(F.explode(F.array("p1", "p2")).alias("id")).distinct()
+    return neighbourhoods(links.where("score >= 400"), "p1", "p2", starts, "id", 2)
+
+
 _BEST = """spans as (select okey, ln, acc, min(cast(split_part(x, '-', 1) as bigint)) as s, max(cast(split_part(x, '-', 2) as bigint)) as e from (select *, unnest(string_split(chopping, '_')) as x from fx_ted) group by okey, ln, acc, fam, chopping),
 cons as (select p.acc, p.okey, p.ln, p.fam, p.seq_start, p.seq_end, coalesce(max(case when greatest(t.s, p.seq_start) <= least(t.e, p.seq_end) then least((least(t.e, p.seq_end) - greatest(t.s, p.seq_start) + 1) / (p.seq_end - p.seq_start + 1),
   (least(t.e, p.seq_end) - greatest(t.s, p.seq_start) + 1) / (t.e - t.s + 1)) else 0 end), 0) as score from fx_family p left join spans t on t.acc = p.acc group by all)"""
