@@ -182,7 +182,7 @@ def x17_fiedler_vectors(spark, folder):
 
 @query()
 def w11_split_candidates(spark, folder):
-    """W11 and X18: candidates from the vectors, the first of those within 30 residues."""
+    """W11: candidates from the vectors, the first of those within 30 residues."""
     found = pt.split_candidates(pt.fiedler(_edges(spark, folder))).select("prot", "idx").distinct()
     a = found.select("prot", F.col("idx").alias("a"), (F.col("idx") + 1).alias("lo"), (F.col("idx") + 29).alias("hi"))
     b = found.select("prot", F.col("idx").alias("b"), F.col("idx").alias("b_end"))
