@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +35,20 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _pii_key(spark: SparkSession) -> bytes:
+    """The key in foldloom.pii.key, in hexadecimal digits; without one a new key, so that no run is linked with another."""
+    given = spark.conf.get("foldloom.pii.key", None)
+    return bytes.fromhex(given) if given else secrets.token_bytes(32)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    cases = mask_pii(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", F.explode("found").alias("x"))
-    return cases.select("doc_id", "x.pii_type", "x.pii_text").distinct()
+    """The spans that got a placeholder."""
+    cases = mask_pii(table(spark, folder, "documents"), "doc_id", "text", _pii_key(spark)).select("doc_id", F.explode("found").alias("x"))
+    return cases.where("x.placeholder is not null").select("doc_id", "x.pii_type", "x.pii_text").distinct()
 
 
 def p9_masked(spark: SparkSession, folder: str) -> DataFrame:
-    return mask_pii(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "masked")
+    return mask_pii(table(spark, folder, "documents"), "doc_id", "text", _pii_key(spark)).select("doc_id", "masked")
 
 
 _ACC = "nullif(upper(trim(split_part({0}, '.', 1), ' ' || chr(9) || chr(10) || chr(13))), '')"
