@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.operators.lookup import HOT_ROWS, lookup
 from foldloom.scratch import cut
 
 
@@ -24,49 +23,50 @@ def _hooks(edges: DataFrame) -> DataFrame:
     return pairs.select(F.inline(child))
 
 
-def _collapsed(parents: DataFrame, hot_rows: int) -> DataFrame:
+def _collapsed(parents: DataFrame) -> DataFrame:
     """Each vertex with its tree's root, by pointer doubling."""
     while True:
-        up = parents.select(F.col("u").alias("p"), F.col("parent").alias("grand"))
-        doubled = lookup(parents, "parent", up, "p", hot_rows=hot_rows)
-        doubled = cut(doubled.select("u", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved")), "parents")
+        up = parents.select(F.col("u").alias("parent"), F.col("parent").alias("grand"))
+        doubled = parents.join(up, "parent").select("u", F.col("grand").alias("parent"), (F.col("grand") != F.col("parent")).alias("moved"))
+        doubled = cut(doubled, "parents")
         parents = doubled.select("u", "parent")
         if doubled.where("moved").isEmpty():
             return parents
 
 
-def _relabelled(edges: DataFrame, roots: DataFrame, hot_rows: int) -> DataFrame:
+def _relabelled(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """The edges between different trees, once each."""
-    a = lookup(edges, "a", roots.select(F.col("u").alias("ua"), F.col("parent").alias("ra")), "ua", hot_rows=hot_rows)
-    b = lookup(a, "b", roots.select(F.col("u").alias("ub"), F.col("parent").alias("rb")), "ub", hot_rows=hot_rows)
+    a = edges.join(roots.select(F.col("u").alias("a"), F.col("parent").alias("ra")), "a")
+    b = a.join(roots.select(F.col("u").alias("b"), F.col("parent").alias("rb")), "b")
     return b.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
-def group_linked(pairs: DataFrame, left: str, right: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def group_linked(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """record, group_id: each value of either column with the smallest value of its group.
 
     Each round every component hooks to the other end of its smallest edge, so the components at least halve; the
     trees collapse by pointer doubling, edges are relabelled and deduplicated, until none is left. All steps are
-    joins and aggregates over tables in the shared folder; rows of hub records are split in every lookup.
+    aggregates with partial sums, and joins with a table of one row for each vertex: a hub that holds a third of the
+    rows makes one large partition on the side of the edges, which adaptive execution splits, as the other side's
+    row can be repeated.
 
     A pair with a null end links nothing but names its other end; pairs of a value with itself, repeated and turned
     pairs change nothing; an empty table gives no rows; other columns are ignored.
     """
-    named = pairs.select(F.col(left).alias("a"), F.col(right).alias("b"))
+    named = cut(pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).distinct(), "pairs")
     records = named.select(F.explode(F.array("a", "b")).alias("record")).where("record is not null").distinct()
     edges = named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = cut(edges, "edges")
     rounds: list[DataFrame] = []
     while not edges.isEmpty():
-        rounds.append(_collapsed(cut(_hooks(edges), "hooks"), hot_rows))
-        edges = cut(_relabelled(edges, rounds[-1], hot_rows), "edges")
+        rounds.append(_collapsed(cut(_hooks(edges), "hooks")))
+        edges = cut(_relabelled(edges, rounds[-1]), "edges")
     if not rounds:
         return records.select("record", F.col("record").alias("group_id"))
     roots = rounds.pop()
     while rounds:  # a root of an earlier round has its own root in the later ones, if its tree grew further
-        later = roots.select(F.col("u").alias("p"), F.col("parent").alias("top"))
-        step = lookup(rounds.pop(), "parent", later, "p", "left", hot_rows)
+        later = roots.select(F.col("u").alias("parent"), F.col("parent").alias("top"))
+        step = rounds.pop().join(later, "parent", "left")
         roots = cut(step.select("u", F.coalesce("top", "parent").alias("parent")), "roots")
-    smallest = roots.groupBy("parent").agg(F.min("u").alias("group_id")).withColumnRenamed("parent", "p")
-    grouped = lookup(roots, "parent", smallest, "p", hot_rows=hot_rows).select("u", "group_id")
-    return records.join(grouped, records["record"] == grouped["u"], "left").select("record", F.coalesce("group_id", "record").alias("group_id"))
+    smallest = roots.groupBy("parent").agg(F.min("u").alias("group_id"))
+    grouped = roots.join(smallest, "parent").select(F.col("u").alias("record"), "group_id")
+    return records.join(grouped, "record", "left").select("record", F.coalesce("group_id", "record").alias("group_id"))

@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.operators.lookup import HOT_ROWS, lookup
 from foldloom.operators.ordered import number_rows
 from foldloom.scratch import cut
 
@@ -48,7 +47,7 @@ def _codes(own: F.Column, other: F.Column | None = None) -> F.Column:
 
 
 def count_pairs(
-    df: DataFrame, basket: str, item: str, min_count: int = 1, min_ratio: float = 0.0, block: int = BLOCK, hot_rows: int = HOT_ROWS
+    df: DataFrame, basket: str, item: str, min_count: int = 1, min_ratio: float = 0.0, block: int = BLOCK
 ) -> DataFrame:
     """Of each pair of items a < b with at least min_count common baskets and at least min_ratio: n_ab, n_a, n_b, n
     (numbers of distinct baskets), ratio (n_ab * n / (n_a * n_b), observed to expected) and odds_ratio (with 0.5 added
@@ -60,6 +59,10 @@ def count_pairs(
     Items that cannot reach the thresholds, whatever they occur with, are left out before pairing: n_ab <= n_a, and
     ratio <= n / n_a. So with a min_ratio items in most baskets make no pairs; results are the same.
 
+    A pair's code holds 31 bits for each of its items; more than 2^31 items that can reach the thresholds raise an error.
+    The joins have one row for each item or basket on one side, so adaptive execution splits what a frequent item or a
+    large basket makes large on the other.
+
     Rows with null basket or item don't count, nor do repeats in a basket; an empty table gives no rows; other
     columns are ignored.
     """
@@ -69,13 +72,16 @@ def count_pairs(
     counts = base.groupBy("item").agg(F.count("*").alias("n_item")).where(F.col("n_item") >= min_count)
     counts = counts.where(F.col("n_item") * F.lit(min_ratio) <= F.lit(n))
     items = cut(number_rows(counts, ["item"], "code"), "items")
-    rows = lookup(base, "item", items.select(F.col("item").alias("known"), "code"), "known", hot_rows=hot_rows).select("basket", "code")
+    last = items.agg(F.max("code").alias("last")).first()["last"]
+    if last is not None and last >> CODE_BITS:
+        raise ValueError(f"{last + 1} items don't fit codes of {CODE_BITS} bits")
+    rows = base.join(items.select("item", "code"), "item").select("basket", "code")
     sizes = rows.groupBy("basket").agg(F.count("*").alias("size")).where(F.col("size") > block)
     large = sizes.select(F.col("basket").alias("large"), F.ceil(F.col("size") / block).alias("blocks"))
     large = cut(large, "large")
     whole, split = rows, None
     if not large.isEmpty():
-        placed = lookup(rows, "basket", large, "large", "left", hot_rows)
+        placed = rows.join(large.withColumnRenamed("large", "basket"), "basket", "left")
         whole = placed.where("blocks is null").select("basket", "code")
         split = placed.where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("code"), "blocks"))
     lists = whole.groupBy("basket").agg(F.sort_array(F.collect_list("code")).alias("own")).where(F.size("own") > 1)

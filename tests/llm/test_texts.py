@@ -94,7 +94,7 @@ CASES = [
     ("lit K" + "k" * 90 + ", Hana", [("name", "K" + "k" * 90 + ", Hana")]),
     ("06.12.34.56.78 or 0612345678 rang", [("phone", "06.12.34.56.78"), ("phone", "0612345678")]),
     ("000-12-3456 666-12-3456 123-00-4567 B00000000 123-45-6789", [("id_number", "123-45-6789")]),
-    ("GIT binary patch\nliteral 9\nz123-45-6789@x.test\n\n987-65-4321", [("id_number", "987-65-4321")]),
+    ("GIT binary patch\nliteral 9\nzx@123-45-6789\n\n987-65-4321", [("id_number", "987-65-4321")]),
     ("of a GIT binary patch\nliteralcall+1-415-555-0156x\n+1-415-555-0156", [("phone", "+1-415-555-0156")]),
     ("Needs a 3 Way Merge on the release branch.", []),
 ]
