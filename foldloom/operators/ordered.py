@@ -39,16 +39,21 @@ def number_rows(df: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def next_in_order(df: DataFrame, position: str, columns: list[str], chunk: int = 1 << 16) -> DataFrame:
-    """df with next_<column>: the value in the row of the next higher position; null in the last row.
+    """df with next_<column>: the value in the row of the next higher position; null in the last row. Positions are
+    different whole numbers from 0.
 
-    The window runs over chunks of positions, each of bounded size; the first row of each chunk is then stitched to
-    the last row of the chunk before. Only one row for each chunk meets in one task.
+    The window runs over chunks of positions; the last row of a chunk is then stitched to the first one of the next, and
+    these firsts, one for each chunk, are put in order in the same way: so no window holds more than `chunk` rows,
+    but the last, which has one row for each chunk of chunks.
     """
     part = f"{position}__chunk"
     rows = df.withColumn(part, F.floor(F.col(position) / F.lit(chunk)).cast("bigint"))
-    w = Window.partitionBy(part).orderBy(position)
     firsts = rows.groupBy(part).agg(F.min_by(F.struct(*columns), position).alias("first"))
-    firsts = firsts.select(part, F.lead("first").over(Window.orderBy(part)).alias("following"))
-    out = rows.withColumn("near", F.lead(F.struct(*columns)).over(w)).join(firsts, part, "left")
+    above = firsts.withColumn("above", F.floor(F.col(part) / F.lit(chunk)).cast("bigint"))
+    tops = above.groupBy("above").agg(F.min_by("first", part).alias("top"))
+    tops = tops.select("above", F.lead("top").over(Window.orderBy("above")).alias("beyond"))  # one row for 2^32 positions
+    following = F.lead("first").over(Window.partitionBy("above").orderBy(part))
+    firsts = above.withColumn("following", following).join(tops, "above").select(part, F.coalesce("following", "beyond").alias("following"))
+    out = rows.withColumn("near", F.lead(F.struct(*columns)).over(Window.partitionBy(part).orderBy(position))).join(firsts, part, "left")
     picked = F.coalesce("near", "following")
     return out.select(*[df[c] for c in df.columns], *[picked[c].alias(f"next_{c}") for c in columns])

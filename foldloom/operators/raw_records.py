@@ -17,13 +17,13 @@ from pyarrow import csv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT = "\x1f"  # guards blanks inside double quotes while blanks around bare fields are cut
 # fixed forms of the two feeds
 BARE, QUOTED = r'[^",\r\n]*', r'"(?:[^"]|"")*"'
 REGION_SHAPE = rf"(?s)^(?:{BARE}|{QUOTED})(?:,(?:{BARE}|{QUOTED}))*$"
 ALIGNMENT_SHAPE = r'^(?:"[^" \t]*"[ \t]+[^"]*|[^"]*)$'
 FAMILY = r"^PF[0-9]{5,}$"
 WHOLE = r"^[0-9]+$"
+GREATEST = str(2**63 - 1)  # what a bigint holds
 E_VALUE = r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 FULL_ID = r"^(?P<acc>[A-Z0-9]{6}|[A-Z0-9]{10})\.(?P<version>[0-9]+)/(?P<first>[0-9]+)-(?P<last>[0-9]+)$"
 ALIGNED = r"^[A-Za-z.\-]+$"
@@ -39,15 +39,21 @@ def _matches(values: pa.Array, pattern: str) -> np.ndarray:
 def _cast(values: pa.Array, ok: np.ndarray, to: pa.DataType) -> tuple[np.ndarray, np.ndarray]:
     """The cells of ok as numbers (others 0), and where the number can be held."""
     cells = pc.if_else(pa.array(ok), values, pa.scalar("0", values.type))
-    if to == pa.int64():  # more than 18 digits don't fit
+    if to == pa.int64():
         digits = pc.utf8_ltrim(cells, characters="0")
-        fits = pc.less_equal(pc.utf8_length(digits), 18).to_numpy(zero_copy_only=False)
-        cells = pc.if_else(pa.array(fits), cells, pa.scalar("0", values.type))
+        size = pc.utf8_length(digits)
+        fits = pc.or_(pc.less(size, len(GREATEST)), pc.and_(pc.equal(size, len(GREATEST)), pc.less_equal(digits, GREATEST))).to_numpy(zero_copy_only=False)
+        cells = pc.if_else(pa.array(fits), pc.utf8_lpad(digits, 1, "0"), pa.scalar("0", values.type))
         return cells.cast(to).to_numpy(), ok & fits
     numbers = cells.cast(to).to_numpy()
     return numbers, ok & np.isfinite(numbers)
 
 
+def _mark(raw: pa.Array) -> str:
+    """A character that no record of the batch holds."""
+    return next(c for c in map(chr, range(0xE000, 0x110000)) if not pc.any(pc.match_substring(raw, c)).as_py())
+
+
 class _Reasons:
     """The first reason found for each record."""
 
@@ -89,8 +95,9 @@ def _region(raw: pa.Array, live: np.ndarray) -> tuple[np.ndarray, dict[str, pa.A
     reasons = _Reasons(n)
     broken = live & ~_matches(raw, REGION_SHAPE)
     reasons.give(broken, "broken quoting")
-    kept = pc.replace_substring_regex(raw, r'(^|,)"([ \t])', rf'\1"{KEPT}\2')
-    kept = pc.replace_substring_regex(kept, r'([ \t])"(,|$)', rf'\1{KEPT}"\2')
+    mark = _mark(raw)  # guards blanks inside double quotes while blanks around bare fields are cut
+    kept = pc.replace_substring_regex(raw, r'(^|,)"([ \t])', rf'\1"{mark}\2')
+    kept = pc.replace_substring_regex(kept, r'([ \t])"(,|$)', rf'\1{mark}"\2')
     at, cells = _read(kept, np.flatnonzero(live & ~broken), 6, ",", reasons.of)
     cells = [pc.utf8_trim(c, characters=" \t") for c in cells]
     bad = _Reasons(len(at))
@@ -104,7 +111,7 @@ def _region(raw: pa.Array, live: np.ndarray) -> tuple[np.ndarray, dict[str, pa.A
     evalue, v_ok = _cast(cells[4], _matches(cells[4], E_VALUE), pa.float64())
     bad.give(~v_ok, "E-value isn't a finite unsigned number")
     reasons.of[at] = bad.of
-    text = [pc.replace_substring(c, KEPT, "") for c in (cells[0], cells[5])]
+    text = [pc.replace_substring(c, mark, "") for c in (cells[0], cells[5])]
     return reasons.of, _placed(n, at, [text[0], cells[1], pa.array(start), pa.array(end), pa.array(evalue), text[1]], REGION_FIELDS)
 
 
@@ -114,7 +121,7 @@ def _alignment(raw: pa.Array, live: np.ndarray) -> tuple[np.ndarray, dict[str, p
     broken = live & ~_matches(raw, ALIGNMENT_SHAPE)
     reasons.give(broken, "broken quoting")
     lines = pc.replace_substring_regex(pc.utf8_trim(raw, characters=" \t"), r"[ \t]+", "\t")
-    lines = pc.replace_substring_regex(lines, r"[\r\n]", KEPT)  # a line break within a record is no end of record
+    lines = pc.replace_substring_regex(lines, r"[\r\n]", _mark(raw))  # a line break within a record is no end of record
     at, (full_id, aligned) = _read(lines, np.flatnonzero(live & ~broken), 2, "\t", reasons.of)
     bad = _Reasons(len(at))
     ok = _matches(full_id, FULL_ID)

@@ -4,7 +4,6 @@ import pytest
 
 from foldloom.operators.heavy_keys import figures_by_key
 from foldloom.operators.intervals import overlap_join, without_overlap
-from foldloom.operators.lookup import lookup
 from foldloom.operators.ordered import next_in_order, number_rows
 from foldloom.operators.periods import periods_and_gaps
 
@@ -16,6 +15,10 @@ def test_number_rows_and_next(spark):
     assert got == {v: k for k, v in enumerate(sorted(values))}
     following = {r["rank"]: r["next_v"] for r in next_in_order(numbered, "rank", ["v"], chunk=7).collect()}
     assert following == {k: v for k, v in enumerate([*sorted(values)[1:], None])}
+    sparse = numbered.where("rank % 50 < 3")  # whole chunks without a row
+    kept = [(k, v) for k, v in enumerate(sorted(values)) if k % 50 < 3]
+    following = {r["rank"]: r["next_v"] for r in next_in_order(sparse, "rank", ["v"], chunk=3).collect()}
+    assert following == {a[0]: b[1] for a, b in zip(kept, [*kept[1:], (None, None)])}
     assert number_rows(spark.createDataFrame([], "v bigint"), ["v"], "rank").count() == 0
 
 
@@ -83,12 +86,3 @@ def test_overlap_join(spark):
     assert got == want
     free = {x["l"] for x in without_overlap(left.where("ls <= le and acc is not null"), right, "acc", ["l"], "ls", "le", "rs", "re").collect()}
     assert free == {x[1] for x in a if x[0] and x[2] <= x[3]} - {p[0] for p in want}
-
-
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_lookup_splits_hot_keys(spark, how):
-    facts = spark.createDataFrame([("hot",)] * 50 + [("cold",), ("gone",), (None,)], "k string")
-    table = spark.createDataFrame([("hot", 1), ("cold", 2), ("idle", 3)], "name string, v int")
-    rows = sorted((x["k"] or "", x["v"] or 0) for x in lookup(facts, "k", table, "name", how, hot_rows=10).collect())
-    want = [("hot", 1)] * 50 + [("cold", 2)] + ([("gone", 0), ("", 0)] if how == "left" else [])
-    assert rows == sorted(want)

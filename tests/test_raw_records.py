@@ -18,6 +18,9 @@ REGION = {
     'A1," PF00001",1,9,1e-5,a': "family isn't an accession",
     "A1,PF00001,x,9,1e-5,a": "start isn't a whole number",
     "A1,PF00001,1,9999999999999999999,1e-5,a": "end isn't a whole number",
+    "A1,PF00001,1000000000000000000,9223372036854775807,1e-5,a": None,
+    "A1,PF00001,1,0009223372036854775807,1e-5,a": None,
+    "A1,PF00001,1,9223372036854775808,1e-5,a": "end isn't a whole number",
     "A1,PF00001,0,9,1e-5,a": "start under 1",
     "A1,PF00001,10,9,1e-5,a": "start behind end",
     "A1,PF00001,1,9,-1,a": "E-value isn't a finite unsigned number",
@@ -64,5 +67,14 @@ def test_typed_values(spark):
     assert (a["accession"], a["version"], a["seq_start"], a["seq_end"], a["aligned"]) == ("X1AAA2AAA3", 4, 3, 5, "a-C.d")
 
 
+def test_records_come_out_unchanged(spark):
+    """Also where they hold characters that serve as marks elsewhere."""
+    odd = "\x1f\ue000 de\x1fsc \ue001"
+    df = spark.createDataFrame([(1, f'A1,PF00001,1000000000000000000,1000000000000000001,1,"{odd}"'), (2, f'"{odd}",PF00001,1,2,1,'), (3, f"A1,PF00001,1,2,1,x{odd}y")], "line_id bigint, raw_line string")
+    got = {r["line_id"]: r for r in region_records(df).collect()}
+    assert (got[1]["description"], got[2]["id"], got[3]["description"]) == (odd, odd, f"x{odd}y")
+    assert (got[1]["seq_start"], got[1]["seq_end"]) == (10**18, 10**18 + 1)
+
+
 def test_empty_table(spark):
     assert region_records(spark.createDataFrame([], "line_id bigint, raw_line string")).count() == 0
