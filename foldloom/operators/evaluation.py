@@ -52,11 +52,13 @@ def protein_scores(true: DataFrame, pred: DataFrame, matches: DataFrame, thresho
 
 
 def status(score: Column) -> Column:
+    # fixed values: the steps of the status
     return F.when(score >= 0.9, "GOOD").when(score >= 0.7, "OK").otherwise("BAD")
 
 
 def error_class() -> Column:
     t, p, g = F.col("n_true"), F.col("n_pred"), F.col("n_good")
+    # fixed values: the names of the classes
     return (
         F.when((t == 0) & (p == 0), "no_domains_correct")
         .when(t == 0, "false_positive")

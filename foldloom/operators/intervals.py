@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BIN = 512  # residues of a bin
+BIN = 128  # residues of a bin: about the length of a domain
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, ls: str, le: str, rs: str, re: str, width: int = BIN) -> DataFrame:
@@ -24,10 +24,23 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, ls: str, le: str,
     return a.join(b, met & once).drop("_key", "_bin", "_right_bin")
 
 
-def without_overlap(left: DataFrame, right: DataFrame, key: str, row: list[str], ls: str, le: str, rs: str, re: str, width: int = BIN) -> DataFrame:
+def _bits(s: str, e: str, bin_: str) -> str:
+    """SQL of the positions of [s, e] in a bin of 64, as the bits of a number."""
+    low, high = f"greatest({s} - {bin_} * 64, 0)", f"least({e} - {bin_} * 64, 63)"
+    return f"shiftleft(shiftrightunsigned(-1L, cast(63 - ({high} - {low}) as int)), cast({low} as int))"
+
+
+def without_overlap(left: DataFrame, right: DataFrame, key: str, row: list[str], ls: str, le: str, rs: str, re: str) -> DataFrame:
     """Rows of left, named by key and the columns row, none of whose intervals touches an interval of right on the same key.
 
-    left may hold several intervals of one row; the result has one row for each, with key and row only.
+    left may hold several intervals of one row; the result has one row for each, with key and row only. What right
+    covers of a key becomes one number for each 64 positions, joined before the shuffle, so no pair is ever listed; a row
+    of left looks up the stretches that it touches. Intervals with a null or with an end before the start touch nothing.
     """
-    touched = overlap_join(left, right.select(key, rs, re), key, ls, le, rs, re, width).select(key, *row).distinct()
-    return left.select(key, *row).distinct().join(touched, [key, *row], "left_anti")
+    bins = lambda s, e: F.sequence(F.floor(F.col(s) / 64), F.floor(F.col(e) / 64))
+    covered = right.where(f"{rs} <= {re} and {key} is not null").select(key, rs, re, F.explode(bins(rs, re)).alias("_bin"))
+    covered = covered.groupBy(key, "_bin").agg(F.bit_or(F.expr(_bits(rs, re, "_bin"))).alias("_covered"))
+    own = left.select(key, *row, ls, le, F.explode_outer(F.when(F.col(ls) <= F.col(le), bins(ls, le))).alias("_bin"))
+    met = own.join(covered, [key, "_bin"], "left")
+    touches = F.coalesce(F.expr(f"_covered & {_bits(ls, le, '_bin')} <> 0"), F.lit(False))
+    return met.groupBy(key, *row).agg(F.bool_or(touches).alias("_touches")).where("not _touches").drop("_touches")

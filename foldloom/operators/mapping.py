@@ -28,9 +28,12 @@ def ranked_list(value: Column, count: Column, most: int | None = None, sep: str
 
 def clan_mapping(counts: DataFrame, clans: DataFrame) -> DataFrame:
     """counts (label, level, fam, n) summed by clan, with the clan's share of the label's rows that have a clan."""
-    by_clan = counts.join(clans.where("clan_acc is not null"), "fam").groupBy("label", "level", "clan_acc")
-    rows = by_clan.agg(F.sum("n").alias("n_total"), F.count("*").alias("n_families"), ranked_list(F.col("fam"), F.col("n"), 3).alias("top_families"))
-    share = F.round(F.col("n_total") / F.sum("n_total").over(Window.partitionBy("label", "level")), 4)
+    keys = ["label", "level", "clan_acc"]
+    known = counts.join(clans.where("clan_acc is not null"), "fam")
+    first = Window.partitionBy(*keys).orderBy(F.desc("n"), "fam")  # Spark keeps three rows of each in every task
+    top = known.withColumn("k", F.row_number().over(first)).where("k <= 3").groupBy(*keys).agg(ranked_list(F.col("fam"), F.col("n")).alias("top_families"))
+    rows = known.groupBy(*keys).agg(F.sum("n").alias("n_total"), F.count("*").alias("n_families")).join(top, keys)
+    share = F.round(F.col("n_total") / F.sum("n_total").over(Window.partitionBy("label", "level")), 4)  # one row for each clan
     return rows.withColumn("confidence", share)
 
 

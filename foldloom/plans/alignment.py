@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foldloom.functions import intervals as iv
 from foldloom.operators import alignment as al
 from foldloom.operators import consensus as co
+from foldloom.operators.intervals import overlap_join
 from foldloom.operators.islands import merged, runs
 from foldloom.plans.registry import Plans
 from foldloom.sources import fixtures as fx
@@ -88,7 +89,7 @@ def _spans(spark, folder):
 
 @query("select m.line_id, m.domain_id, p.col as col_s, q.col as col_e from met m join amap p on p.line_id = m.line_id and p.residue = m.cs join amap q on q.line_id = m.line_id and q.residue = m.ce", _SPANS)
 def x36_domains_in_alignment(spark, folder):
-    rows = fx.alignment(spark, folder).join(_spans(spark, folder), "acc")
+    rows = overlap_join(fx.alignment(spark, folder), _spans(spark, folder), "acc", "first", "last", "s", "e")
     out = al.span_to_columns(rows, "aln", "first", "last", "s", "e")
     return out.select("line_id", "domain_id", F.col("col_s").cast("bigint").alias("col_s"), F.col("col_e").cast("bigint").alias("col_e"))
 

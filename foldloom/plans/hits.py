@@ -9,7 +9,7 @@ from foldloom.functions import intervals as iv
 from foldloom.functions.keys import accession
 from foldloom.functions.scores import evalue_class, score_class, structure_probability, wilson_lower_bound
 from foldloom.operators.intervals import overlap_join
-from foldloom.operators.networks import best_edges, domain_frequencies, family_statistics, first_per_key, methods_side_by_side, neighbourhood, neighbourhoods
+from foldloom.operators.networks import best_edges, domain_frequencies, family_statistics, first_per_key, methods_side_by_side, neighbourhoods
 from foldloom.plans.registry import Plans
 from foldloom.sources import fixtures as fx
 from foldloom.sources import lines as tx
@@ -202,8 +202,9 @@ cand as (select distinct a.fam as a, b.fam as b from fx_family a join fx_family
 
 
 def _nested(spark, folder):
-    a = fx.family_regions(spark, folder).selectExpr("acc", "fam as outer_fam", "seq_start as os", "seq_end as oe")
-    b = fx.family_regions(spark, folder).selectExpr("acc", "fam as inner_fam", "seq_start as i_s", "seq_end as i_e")
+    regions = fx.family_regions(spark, folder).select("acc", "fam", "seq_start", "seq_end").distinct()
+    a = regions.selectExpr("acc", "fam as outer_fam", "seq_start as os", "seq_end as oe")
+    b = regions.selectExpr("acc", "fam as inner_fam", "seq_start as i_s", "seq_end as i_e")
     inside = overlap_join(a, b, "acc", "os", "oe", "i_s", "i_e").where("os < i_s and i_e < oe and outer_fam <> inner_fam")
     return inside.select("outer_fam", "inner_fam").distinct()
 
@@ -318,13 +319,16 @@ def a43_family_by_network(spark, folder):
 
 
 @query(
-    """select node, cast(min(hop) as integer) as hop from walk group by node""",
+    """select start, node, cast(min(hop) as integer) as hop from walk group by start, node""",
     """both_ways as (select distinct p1 as a, p2 + 1000000 as b from fx_links where score >= 400 union select distinct p2 + 1000000, p1 from fx_links where score >= 400),
-walk as (select cast(1 as bigint) as node, 0 as hop union select b.b, w.hop + 1 from walk w join both_ways b on b.a = w.node where w.hop < 2)""",
+walk as (select p1 as start, p1 as node, 0 as hop from fx_links where p1 % 50 = 0 union select p2 + 1000000, p2 + 1000000, 0 from fx_links where p2 % 50 = 0
+union select w.start, b.b, w.hop + 1 from walk w join both_ways b on b.a = w.node where w.hop < 2)""",
 )
 def x02_neighbourhood(spark, folder):
-    edges = fx.links(spark, folder).where("score >= 400").selectExpr("p1", "p2 + 1000000 as p2")
-    return neighbourhood(edges, "p1", "p2", spark.range(1, 2), "id", 2)
+    """Of the query proteins, those with an id divisible by 50, over all links."""
+    links = fx.links(spark, folder).selectExpr("p1", "p2 + 1000000 as p2", "score")
+    starts = links.select(F.explode(F.array("p1", "p2")).alias("id")).where("id % 50 = 0").distinct()
+    return neighbourhoods(links.where("score >= 400"), "p1", "p2", starts, "id", 2)
 
 
 @query(
@@ -346,13 +350,14 @@ cons as (select p.acc, p.okey, p.ln, p.fam, p.seq_start, p.seq_end, coalesce(max
 
 
 def _consistency(spark, folder):
-    spans = iv.with_spans(fx.structure_domains(spark, folder), "chopping").selectExpr("acc", "span_s as s", "span_e as e")
-    regions = fx.family_regions(spark, folder).select("acc", "okey", "ln", "fam", "seq_start", "seq_end")
+    """The best match of each region; different intervals of a protein are compared once, whatever number of rows has them."""
+    spans = iv.with_spans(fx.structure_domains(spark, folder), "chopping").selectExpr("acc", "span_s as s", "span_e as e").distinct()
+    regions = fx.family_regions(spark, folder).select("acc", "okey", "ln", "fam", "seq_start", "seq_end").distinct()
     common = iv.overlap("s", "e", "seq_start", "seq_end")
     score = F.least(common / (F.col("seq_end") - F.col("seq_start") + 1), common / (F.col("e") - F.col("s") + 1))
-    keys = ["acc", "okey", "ln", "fam", "seq_start", "seq_end"]
-    best = overlap_join(regions.distinct(), spans.distinct(), "acc", "seq_start", "seq_end", "s", "e").groupBy(*keys).agg(F.max(score).alias("score"))
-    return regions.distinct().join(best, keys, "left").select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"))
+    ends = ["acc", "seq_start", "seq_end"]
+    best = overlap_join(regions.select(*ends).distinct(), spans, "acc", "seq_start", "seq_end", "s", "e").groupBy(*ends).agg(F.max(score).alias("score"))
+    return regions.join(best, ends, "left").select("acc", "okey", "ln", "fam", "seq_start", "seq_end", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 @query("select acc, okey, ln, fam, seq_start, seq_end, round(score, 6) as score from cons", _BEST)

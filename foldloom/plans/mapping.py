@@ -108,30 +108,22 @@ def j03_in_sequence_universe(spark, folder):
     return fx.structure_domains(spark, folder).join(known, "acc", "left_semi").select("okey", "ln", "acc", "fam")
 
 
-_SEED = """seed as (select l_partkey as acc, l_suppkey as sfam, l_orderkey as sokey, l_linenumber as sln, s as seed_s, e as seed_e from
-  (select *, row_number() over (partition by acc order by okey, ln, fam, s, e) as k, acc as l_partkey, fam as l_suppkey, okey as l_orderkey, ln as l_linenumber from fx_region where src = 'O') where k <= 2),
+_SEED = """seed as (select acc, fam as sfam, okey as sokey, ln as sln, s as seed_s, e as seed_e from fx_region where src = 'O'),
 cover as (select d.acc, d.sokey, d.sln, d.sfam, d.seed_s, d.seed_e, g.okey, g.ln, g.fam, g.cath, g.consensus_level,
   sum(greatest(0, least(d.seed_e, g.e) - greatest(d.seed_s, g.s) + 1)) * 1.0::double / max(d.seed_e - d.seed_s + 1) as covered
   from seed d join segs g on g.acc = d.acc group by all),
 best as (select * from cover where covered >= 0.5)"""
 
 
-_ALL_SEEDS = f"""seed as (select acc, fam as sfam, okey as sokey, ln as sln, s as seed_s, e as seed_e from fx_region where src = 'O'){_SEED[_SEED.index(",\ncover as") :]}"""
+def _seed(spark, folder):
+    """Every region as a seed row."""
+    return fx.hits(spark, folder).where("src = 'O'").selectExpr("acc", "okey as sokey", "ln as sln", "fam as sfam", "s as seed_s", "e as seed_e")
 
 
-def _seed(spark, folder, most=2):
-    """Regions as seed rows: the first `most` of each protein, which the SQL of the queries without _all asks for, or all."""
-    rows = fx.hits(spark, folder).where("src = 'O'")
-    if most:
-        first = Window.partitionBy("acc").orderBy("okey", "ln", "fam", "s", "e")
-        rows = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
-    return rows.select("acc", F.col("okey").alias("sokey"), F.col("ln").alias("sln"), F.col("fam").alias("sfam"), F.col("s").alias("seed_s"), F.col("e").alias("seed_e"))
-
-
-def _covered(spark, folder, most=2):
+def _covered(spark, folder):
     """Seed sequences with the structure domains that cover at least half of them."""
     domains = iv.with_spans(fx.structure_domains(spark, folder), "chopping")
-    met = overlap_join(_seed(spark, folder, most), domains, "acc", "seed_s", "seed_e", "span_s", "span_e")
+    met = overlap_join(_seed(spark, folder), domains, "acc", "seed_s", "seed_e", "span_s", "span_e")
     met = met.where(iv.overlap("span_s", "span_e", "seed_s", "seed_e") >= 0.5 * (F.col("seed_e") - F.col("seed_s") + 1))
     covered = iv.segments_overlap("segs", "seed_s", "seed_e") / (F.col("seed_e") - F.col("seed_s") + 1)
     return met.withColumn("covered", covered).where("covered >= 0.5")
@@ -141,10 +133,10 @@ _SEED_COVERAGE_SQL = """select d.acc, d.sokey, d.sln, d.sfam, d.seed_s, d.seed_e
 from seed d left join best b using (acc, sokey, sln, sfam, seed_s, seed_e) group by all"""
 
 
-def _seed_coverage(spark, folder, most):
+def _seed_coverage(spark, folder):
     keys = ["acc", "sokey", "sln", "sfam", "seed_s", "seed_e"]
-    found = _covered(spark, folder, most).groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.round("covered", 6)).alias("best"))
-    seed = _seed(spark, folder, most).groupBy(*keys).agg(F.count("*").alias("times"))
+    found = _covered(spark, folder).groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.round("covered", 6)).alias("best"))
+    seed = _seed(spark, folder).groupBy(*keys).agg(F.count("*").alias("times"))
     return seed.join(found, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).cast("bigint").alias("n_matches"), "best")
 
 
@@ -152,10 +144,10 @@ _SPAN_REPORT_SQL = """select t.acc, t.okey, t.ln, d.sokey, d.sln, round(greatest
 from (select okey, ln, acc, fam, min(s) as s, max(e) as e from segs group by okey, ln, acc, fam, chopping) t join seed d on d.acc = t.acc"""
 
 
-def _span_report(spark, folder, most):
+def _span_report(spark, folder):
     spans = iv.with_spans(fx.structure_domains(spark, folder), "chopping").selectExpr("okey", "ln", "acc", "span_s as s", "span_e as e")
     percent = F.round(iv.overlap_percent("s", "e", "seed_s", "seed_e"), 4)
-    return spans.join(_seed(spark, folder, most), "acc").select("acc", "okey", "ln", "sokey", "sln", percent.alias("percent"))
+    return spans.join(_seed(spark, folder), "acc").select("acc", "okey", "ln", "sokey", "sln", percent.alias("percent"))
 
 
 _FIRST_OVERLAP_SQL = """select acc, okey, ln, sfam from (select t.acc, t.okey, t.ln, d.sfam, row_number() over (partition by t.acc, t.okey, t.ln, t.fam order by d.sokey, d.sln, d.sfam, d.seed_s, d.seed_e) as k
@@ -163,9 +155,9 @@ from (select okey, ln, acc, fam, min(s) as s, max(e) as e from segs group by oke
 where greatest(0, least(t.e, d.seed_e) - greatest(t.s, d.seed_s) + 1) > 0.5 * (t.e - t.s + 1)) where k = 1"""
 
 
-def _first_overlap(spark, folder, most):
+def _first_overlap(spark, folder):
     spans = iv.with_spans(fx.structure_domains(spark, folder), "chopping").selectExpr("okey", "ln", "acc", "fam", "span_s as s", "span_e as e")
-    met = overlap_join(spans, _seed(spark, folder, most), "acc", "s", "e", "seed_s", "seed_e")
+    met = overlap_join(spans, _seed(spark, folder), "acc", "s", "e", "seed_s", "seed_e")
     met = met.where(iv.overlap("s", "e", "seed_s", "seed_e") > 0.5 * (F.col("e") - F.col("s") + 1))
     first = Window.partitionBy("acc", "okey", "ln", "fam").orderBy("sokey", "sln", "sfam", "seed_s", "seed_e")
     return met.withColumn("k", F.row_number().over(first)).where("k = 1").select("acc", "okey", "ln", "sfam")
@@ -303,9 +295,9 @@ def p17_label_roll_up(spark, folder):
 _MANY_GROUP_SEQUENCES_SQL = "select acc, sokey, sln, sfam, n_groups from (select acc, sokey, sln, sfam, seed_s, seed_e, count(distinct cath) as n_groups from best group by all) where n_groups > 1"
 
 
-def _many_group_sequences(spark, folder, most):
+def _many_group_sequences(spark, folder):
     keys = ["acc", "sokey", "sln", "sfam", "seed_s", "seed_e"]
-    rows = _covered(spark, folder, most).groupBy(*keys).agg(F.countDistinct("cath").alias("n_groups")).where("n_groups > 1")
+    rows = _covered(spark, folder).groupBy(*keys).agg(F.countDistinct("cath").alias("n_groups")).where("n_groups > 1")
     return rows.select("acc", "sokey", "sln", "sfam", "n_groups")
 
 
@@ -313,10 +305,10 @@ _BEST_MATCH_PER_SEQUENCE_SQL = """select acc, sokey, sln, sfam, seed_s, seed_e,
 order by round(covered, 6) desc, okey, ln, fam) as k from best) where k = 1"""
 
 
-def _best_match_per_sequence(spark, folder, most):
+def _best_match_per_sequence(spark, folder):
     keys = ["acc", "sokey", "sln", "sfam", "seed_s", "seed_e"]
     first = Window.partitionBy(*keys).orderBy(F.desc("covered"), "okey", "ln", "fam")
-    rows = _covered(spark, folder, most).withColumn("covered", F.round("covered", 6))
+    rows = _covered(spark, folder).withColumn("covered", F.round("covered", 6))
     return rows.withColumn("k", F.row_number().over(first)).where("k = 1").select(*keys, "cath", "covered")
 
 
@@ -430,49 +422,28 @@ def a09_proteins_without_domain(spark, folder):
 
 @query(_SEED_COVERAGE_SQL, f"{_SEGS}, {_SEED}")
 def j04_seed_coverage(spark, folder):
-    return _seed_coverage(spark, folder, 2)
-
-
-@query(_SEED_COVERAGE_SQL, f"{_SEGS}, {_ALL_SEEDS}")
-def j04_seed_coverage_all(spark, folder):
-    return _seed_coverage(spark, folder, None)
+    return _seed_coverage(spark, folder)
 
 
 @query(_SPAN_REPORT_SQL, f"{_SEGS}, {_SEED}")
 def j05_span_report(spark, folder):
-    return _span_report(spark, folder, 2)
-
-
-@query(_SPAN_REPORT_SQL, f"{_SEGS}, {_ALL_SEEDS}")
-def j05_span_report_all(spark, folder):
-    return _span_report(spark, folder, None)
+    return _span_report(spark, folder)
 
 
 @query(_FIRST_OVERLAP_SQL, f"{_SEGS}, {_SEED}")
 def j06_first_overlap(spark, folder):
-    return _first_overlap(spark, folder, 2)
-
-
-@query(_FIRST_OVERLAP_SQL, f"{_SEGS}, {_ALL_SEEDS}")
-def j06_first_overlap_all(spark, folder):
-    return _first_overlap(spark, folder, None)
+    return _first_overlap(spark, folder)
 
 
 @query(_MANY_GROUP_SEQUENCES_SQL, f"{_SEGS}, {_SEED}")
 def a13_many_group_sequences(spark, folder):
-    return _many_group_sequences(spark, folder, 2)
-
-
-@query(_MANY_GROUP_SEQUENCES_SQL, f"{_SEGS}, {_ALL_SEEDS}")
-def a13_many_group_sequences_all(spark, folder):
-    return _many_group_sequences(spark, folder, None)
+    return _many_group_sequences(spark, folder)
 
 
 @query(_BEST_MATCH_PER_SEQUENCE_SQL, f"{_SEGS}, {_SEED}")
 def w14_best_match_per_sequence(spark, folder):
-    return _best_match_per_sequence(spark, folder, 2)
+    return _best_match_per_sequence(spark, folder)
 
 
-@query(_BEST_MATCH_PER_SEQUENCE_SQL, f"{_SEGS}, {_ALL_SEEDS}")
-def w14_best_match_per_sequence_all(spark, folder):
-    return _best_match_per_sequence(spark, folder, None)
+for _name in ("j04_seed_coverage", "j05_span_report", "j06_first_overlap", "a13_many_group_sequences", "w14_best_match_per_sequence"):
+    query.also(_name, f"{_name}_all")

@@ -210,7 +210,7 @@ def x38_matched_boundaries(spark, folder):
 @query()
 def x42_best_rotation(spark, folder):
     """X42 and P37."""
-    return pt.best_rotation(fx.residues(spark, folder), _members(spark, folder), 100)
+    return pt.best_rotation(fx.residues(spark, folder), _members(spark, folder), 1000)
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events where props is not null")

@@ -26,3 +26,9 @@ class Plans:
             return f
 
         return add
+
+    def also(self, name: str, former: str) -> None:
+        """The query under a former name too."""
+        self.queries[former] = self.queries[name]
+        if name in self.oracles:
+            self.oracles[former] = self.oracles[name]

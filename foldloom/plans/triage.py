@@ -116,10 +116,7 @@ def p23_insert_clan_line(spark, folder):
     return fx.tagged_records(spark, folder).select("doc_id", cu.set_tag("rec", "CL", F.concat(F.lit("CL"), "doc_id"), "TP").alias("rec"))
 
 
-@query("select doc_id, array_to_string(list_transform(string_split(rec, '|'), lambda x: case when starts_with(x, 'TP') then concat(x, '|CL   CL', doc_id) else x end), '|') as rec from fx_desc_all")
-def p23_insert_clan_line_all(spark, folder):
-    """With the whole text of each record."""
-    return fx.tagged_records(spark, folder, None).select("doc_id", cu.set_tag("rec", "CL", F.concat(F.lit("CL"), "doc_id"), "TP").alias("rec"))
+query.also("p23_insert_clan_line", "p23_insert_clan_line_all")
 
 
 @query("select doc_id, array_to_string(list_transform(string_split(rec, '|'), lambda x: case when starts_with(x, 'DE') then 'DE   new text' else x end), '|') as rec from fx_desc")
@@ -168,19 +165,12 @@ def p39_sequence_slices(spark, folder):
     return rows.select("okey", "ln", "acc", "fam", F.expr("substr(seq, cast(seq_start as int), cast(least(seq_end, length(seq)) - seq_start + 1 as int))").alias("part"))
 
 
-@query("select acc, count(*) filter (matches) as n_same, count(*) as n from (select r.acc, substr(s.seq, r.seq_start, 20) = substr(repeat(substr(s.seq, 1, length(s.seq) // 9), 30), r.seq_start, 20) as matches from fx_family r join seqs s on s.acc = r.acc where r.seq_start + 20 <= length(s.seq)) group by acc", _SEQ)
-def p38_sequence_agreement(spark, folder):
-    rows = fx.family_regions(spark, folder).join(_sequences(spark, folder), "acc").where("seq_start + 20 <= length(seq)")
-    same = F.expr("substr(seq, cast(seq_start as int), 20) = substr(repeat(substr(seq, 1, cast(length(seq) div 9 as int)), 30), cast(seq_start as int), 20)")
-    return rows.groupBy("acc").agg(F.count_if(same).alias("n_same"), F.count("*").alias("n"))
-
-
 @query(
     """select acc, count(*) filter (matches) as n_same, count(*) as n from (select r.acc, r.seq_end <= length(s.seq) and substr(s.seq, r.seq_start, r.seq_end - r.seq_start + 1)
 = substr(repeat(substr(s.seq, 1, length(s.seq) // 9), 30), r.seq_start, r.seq_end - r.seq_start + 1) as matches from fx_family r join seqs s on s.acc = r.acc) group by acc""",
     _SEQ,
 )
-def p38_sequence_agreement_all(spark, folder):
+def p38_sequence_agreement(spark, folder):
     """Over whole regions; one that doesn't end within the sequence counts as different."""
     rows = fx.family_regions(spark, folder).join(_sequences(spark, folder), "acc")
     part = "substr({}, cast(seq_start as int), cast(seq_end - seq_start + 1 as int))"
@@ -188,6 +178,9 @@ def p38_sequence_agreement_all(spark, folder):
     return rows.groupBy("acc").agg(F.count_if(same).alias("n_same"), F.count("*").alias("n"))
 
 
+query.also("p38_sequence_agreement", "p38_sequence_agreement_all")
+
+
 @query("select acc, regexp_replace(seq, '(.{60})', '\\1' || chr(10), 'g') as wrapped from seqs", _SEQ)
 def k12_wrapped_sequences(spark, folder):
     return _sequences(spark, folder).select("acc", F.regexp_replace("seq", "(.{60})", "$1\n").alias("wrapped"))

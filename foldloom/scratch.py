@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,8 +31,40 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/foldloom-{spark.sparkContext.applicationId}{_within[-1] if _within else ''}"
+
+
+_within: list[str] = []  # folders of the open workspaces
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were cut within it; results must be written or collected before."""
+    _within.append(f"{_within[-1] if _within else ''}/{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, _folder(spark))
+        _within.pop()
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has cut. DataFrames that read them can no longer be used."""
+    _delete(spark, f"{shared_folder(spark)}/foldloom-{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df, written as Parquet and read again: a lost executor costs at most the tasks of the running step."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df, written as Parquet and read again: a lost executor costs at most the tasks of the running step.
+
+    The table stays until the workspace around it ends, or `clear` is called.
+    """
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

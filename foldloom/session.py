@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +22,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """spark with this package sent to its executors, for clusters where it isn't installed: Arrow functions need it there."""
+    at = tempfile.mkdtemp(prefix="foldloom-package-")
+    package = Path(__file__).resolve().parent
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{at}/foldloom", "zip", package.parent, package.name))
+    return spark

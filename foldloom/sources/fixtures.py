@@ -64,12 +64,17 @@ def alignment(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("line_id", "family", part(1).alias("acc"), part(3).cast("bigint").alias("first"), part(4).cast("bigint").alias("last"), part(5).alias("aln"))
 
 
+PROTEIN_VECTORS = 2_000  # vectors of all labels that make the residues of one protein for each label
+
+
 def residues(spark: SparkSession, folder: str) -> DataFrame:
-    """Residues of proteins: index, CA coordinates, confidence."""
-    at = Window.partitionBy("label").orderBy("vec_id")
+    """Residues of proteins: index, CA coordinates, confidence. A protein is a label within a stretch of vectors, so a larger
+    table has more proteins, not longer ones."""
+    prot = F.expr(f"cast(label + 10 * (vec_id div {PROTEIN_VECTORS}) as int)")
+    at = Window.partitionBy(prot).orderBy("vec_id")
     axis = [F.col("embedding")[k].cast("double") for k in range(4)]
     return table(spark, folder, "embeddings").select(
-        F.col("label").alias("prot"),
+        prot.alias("prot"),
         F.row_number().over(at).alias("idx"),
         (axis[0] * 100).alias("x"),
         (axis[1] * 100).alias("y"),
@@ -103,13 +108,11 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def tagged_records(spark: SparkSession, folder: str, most: int | None = 30) -> DataFrame:
-    """Flat-file records, their tagged lines joined by a pipe; at most `most` letters of a text (view fx_desc), or all (fx_desc_all)."""
-    text = "regexp_replace(text, '[^A-Za-z]', ' ')"
-    text = f"substr({text}, 1, {most})" if most else text
+def tagged_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Flat-file records, their tagged lines joined by a pipe."""
     return table(spark, folder, "documents").where("text is not null").selectExpr(
         "doc_id",
-        f"concat('ID   D', doc_id, '|DE   ', {text}, '|TP   ',"
+        "concat('ID   D', doc_id, '|DE   ', regexp_replace(text, '[^A-Za-z]', ' '), '|TP   ',"
         " case when n_chars % 3 = 0 then 'Domain' when n_chars % 3 = 1 then 'Family' else 'Repeat' end,"
         " '|RN   [1]|RM   ', 1000000 + n_chars, '|CC   ', coalesce(lang, '')) as rec",
     )
@@ -126,7 +129,7 @@ SQL = {
     "fx_links": "select l_suppkey as p1, l_partkey as p2, l_linenumber as taxid, cast(floor(l_extendedprice) as bigint) % 1000 as score from lineitem",
     "fx_align": f"""select line_id, family, x.acc as acc, cast(x.a as bigint) as first, cast(x.b as bigint) as last, x.aln as aln
   from (select line_id, family, regexp_extract(raw_line, '{ALIGNED_LINE}', ['acc', 'v', 'a', 'b', 'aln']) as x from alignment_lines) where x.acc <> ''""",
-    "fx_res": """select label as prot, cast(row_number() over (partition by label order by vec_id) as integer) as idx, cast(embedding[1] as double) * 100 as x,
+    "fx_res": f"""select cast(label + 10 * (vec_id // {PROTEIN_VECTORS}) as integer) as prot, cast(row_number() over (partition by label + 10 * (vec_id // {PROTEIN_VECTORS}) order by vec_id) as integer) as idx, cast(embedding[1] as double) * 100 as x,
   cast(embedding[2] as double) * 100 as y, cast(embedding[3] as double) * 100 as z,
   least(100.0::double, abs(cast(embedding[4] as double)) * 800) as plddt from embeddings""",
     "fx_triage": """select o_orderkey as okey, o_custkey as root, o_orderkey % 4 as depth, cast(floor(o_totalprice) as bigint) % 5000 + 1 as total_seqs,
@@ -136,13 +139,10 @@ SQL = {
   from orders""",
     "fx_pred": """select user_id as prot, event_type as method, cast(floor(value) as bigint) % 300 + 1 as s, cast(floor(value) as bigint) % 300 + 40 + event_id % 60 as e, event_id, cast(ts as date) as day
   from events where value is not null""",
-    "fx_desc": """select doc_id, concat('ID   D', doc_id, '|DE   ', substr(regexp_replace(text, '[^A-Za-z]', ' ', 'g'), 1, 30), '|TP   ',
+    "fx_desc": """select doc_id, concat('ID   D', doc_id, '|DE   ', regexp_replace(text, '[^A-Za-z]', ' ', 'g'), '|TP   ',
   case when n_chars % 3 = 0 then 'Domain' when n_chars % 3 = 1 then 'Family' else 'Repeat' end, '|RN   [1]|RM   ', 1000000 + n_chars, '|CC   ', coalesce(lang, '')) as rec
   from documents where text is not null""",
 }
-SQL["fx_desc_all"] = """select doc_id, concat('ID   D', doc_id, '|DE   ', regexp_replace(text, '[^A-Za-z]', ' ', 'g'), '|TP   ',
-  case when n_chars % 3 = 0 then 'Domain' when n_chars % 3 = 1 then 'Family' else 'Repeat' end, '|RN   [1]|RM   ', 1000000 + n_chars, '|CC   ', coalesce(lang, '')) as rec
-  from documents where text is not null"""
 NEEDS = {"fx_ted": ["fx_region"], "fx_family": ["fx_region"]}
 
 

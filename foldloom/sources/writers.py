@@ -14,8 +14,12 @@ def write_table(df: DataFrame, path: str, decimals: dict[str, int] | None = None
 
 
 def write_lines_by_key(df: DataFrame, path: str, key: str, line: str, order: str) -> None:
-    """A folder of text files for each key, its lines in order within each file."""
-    df.select(key, order, F.col(line).alias("value")).repartition(key, order).sortWithinPartitions(key, order).drop(order).write.partitionBy(key).mode("overwrite").text(path)
+    """A folder of text files for each key, its lines in order within each file, and the files in order by name.
+
+    Rows are partitioned by ranges of (key, order), so the lines of a large key are cut in stretches, not mixed.
+    """
+    rows = df.select(key, order, F.col(line).alias("value")).repartitionByRange(key, order).sortWithinPartitions(key, order)
+    rows.drop(order).write.partitionBy(key).mode("overwrite").text(path)
 
 
 def fasta_record(name: Column, sequence: Column, width: int = 60) -> Column:
