@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldloom.operators.greedy import greedy_picks
+from foldloom.operators.intervals import overlap_join
 from foldloom.scratch import cut
 
 
@@ -78,6 +80,72 @@ def compactness(residues: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
+def largest_dimension(residues: DataFrame, members: DataFrame) -> DataFrame:
+    """prot, dom, max_dimension: the distance of the two residues of a domain that lie farthest apart.
+
+    Two such residues lie together at least as far from the middle as the residue farthest from the middle lies from the
+    one farthest from it; only residues that can be one of them are compared.
+    """
+    away = lambda a, b: F.sqrt(sum(((F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in "xyz"), F.lit(0.0)))
+    rows = residues.join(members.select("prot", "idx", "dom"), ["prot", "idx"]).select("prot", "dom", "idx", "x", "y", "z")
+    middle = rows.groupBy("prot", "dom").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
+    rows = cut(rows.join(middle, ["prot", "dom"]).withColumn("r", away("", "m")).drop("mx", "my", "mz"), "residues")
+    outer = rows.groupBy("prot", "dom").agg(F.max(F.struct("r", "x", "y", "z")).alias("o")).select("prot", "dom", F.col("o.r").alias("most"), *[F.col(f"o.{c}").alias(f"o{c}") for c in "xyz"])
+    reach = rows.join(outer, ["prot", "dom"]).groupBy("prot", "dom").agg(F.max(away("", "o")).alias("known"), F.first("most").alias("most"))
+    ends = rows.join(reach, ["prot", "dom"]).where("r + most >= known - 1e-9").select("prot", "dom", "idx", "x", "y", "z")
+    other = ends.select("prot", "dom", F.col("idx").alias("jdx"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
+    return ends.join(other, ["prot", "dom"]).where("idx <= jdx").groupBy("prot", "dom").agg(F.max(away("", "b")).alias("max_dimension"))
+
+
+def isolated(residues: DataFrame, edges: DataFrame, window: int = 10, min_contacts: int = 3) -> DataFrame:
+    """prot, idx of residues with fewer than min_contacts contacts at least `window` away along the chain."""
+    far = edges.where(F.col("j") - F.col("i") >= window).select("prot", F.explode(F.array("i", "j")).alias("idx")).groupBy("prot", "idx").agg(F.count("*").alias("k"))
+    return residues.select("prot", "idx").join(far.where(F.col("k") >= min_contacts), ["prot", "idx"], "left_anti")
+
+
+def rescued(residues: DataFrame, edges: DataFrame, loose: DataFrame, clusters: DataFrame, min_size: int = 30, min_plddt: float = 50, max_gap: int = 20, min_ratio: float = 1.0, min_contacts: float = 3.0) -> DataFrame:
+    """prot, dom, n: clusters (prot, idx, dom) whose disordered residues (loose: prot, idx) are a domain after all: enough of
+    them, confident on average, without large gaps, and with as many contacts among each other as to others, or
+    min_contacts for each residue."""
+    rows = cut(clusters.select("prot", "idx", "dom").join(loose.select("prot", "idx"), ["prot", "idx"], "left_semi").join(residues.select("prot", "idx", "plddt"), ["prot", "idx"]), "loose")
+    gap = F.col("idx") - F.lag("idx").over(Window.partitionBy("prot", "dom").orderBy("idx"))
+    sums = rows.withColumn("gap", gap).groupBy("prot", "dom").agg(F.count("*").alias("n"), F.avg("plddt").alias("mean"), F.coalesce(F.max("gap"), F.lit(0)).alias("gap"))
+    ends = _ends(edges, rows)
+    inside = ends.where("dom_i = dom_j").groupBy("prot", F.col("dom_i").alias("dom")).agg(F.count("*").alias("inner"))
+    outside = ends.where("dom_i is distinct from dom_j").select("prot", F.explode(F.array("dom_i", "dom_j")).alias("dom")).where("dom is not null").groupBy("prot", "dom").agg(F.count("*").alias("outer"))
+    rows = sums.join(inside, ["prot", "dom"], "left").join(outside, ["prot", "dom"], "left").fillna(0, ["inner", "outer"])
+    ratio = F.when(F.col("outer") > 0, F.col("inner") / F.when(F.col("outer") > 0, F.col("outer"))).otherwise(F.col("inner"))
+    good = (F.col("n") >= min_size) & (F.col("mean") >= min_plddt) & (F.col("gap") <= max_gap)
+    return rows.where(good & ((ratio >= min_ratio) | (2 * F.col("inner") / F.col("n") >= min_contacts))).select("prot", "dom", "n")
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """prot, a, b, c and the weights w_ab, w_ac, w_bc of each triangle. Every edge leads from its end of fewer contacts to the
+    other, so a hub begins few of the paths that may close."""
+    degree = edges.select("prot", F.explode(F.array("i", "j")).alias("n")).groupBy("prot", "n").agg(F.count("*").alias("k"))
+    rows = edges.select("prot", "i", "j", "w").join(degree.withColumnsRenamed({"n": "i", "k": "ki"}), ["prot", "i"]).join(degree.withColumnsRenamed({"n": "j", "k": "kj"}), ["prot", "j"])
+    first = (F.col("ki") < F.col("kj")) | ((F.col("ki") == F.col("kj")) & (F.col("i") < F.col("j")))
+    way = cut(rows.select("prot", F.when(first, F.col("i")).otherwise(F.col("j")).alias("a"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("b"), "w"), "ways")
+    paths = way.withColumnRenamed("w", "w_ab").join(way.select("prot", "a", F.col("b").alias("c"), F.col("w").alias("w_ac")), ["prot", "a"]).where("b <> c")
+    closing = way.select("prot", F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("w_bc"))
+    return paths.join(closing, ["prot", "b", "c"]).select("prot", "a", "b", "c", "w_ab", "w_ac", "w_bc")
+
+
+def mean_clustering(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """prot, n_triangles, clustering: the weighted clustering coefficient, averaged over all nodes (prot, idx). A triangle
+    counts with the cube root of the product of its weights, as shares of the protein's largest weight."""
+    found = cut(triangles(edges), "triangles")
+    top = edges.groupBy("prot").agg(F.max("w").alias("top"))
+    share = F.cbrt(F.col("w_ab") * F.col("w_ac") * F.col("w_bc")) / F.col("top")
+    own = found.join(top, "prot").select("prot", F.explode(F.array("a", "b", "c")).alias("n"), share.alias("share")).groupBy("prot", "n").agg(F.sum("share").alias("share"))
+    degree = edges.select("prot", F.explode(F.array("i", "j")).alias("n")).groupBy("prot", "n").agg(F.count("*").alias("k"))
+    sums = own.join(degree, ["prot", "n"]).groupBy("prot").agg(F.sum(2 * F.col("share") / (F.col("k") * (F.col("k") - 1))).alias("sum"))
+    counts = found.groupBy("prot").agg(F.count("*").alias("n_triangles"))
+    all_ = nodes.groupBy("prot").agg(F.count("*").alias("n_nodes"))
+    rows = all_.join(sums, "prot", "left").join(counts, "prot", "left")
+    return rows.select("prot", F.coalesce("n_triangles", F.lit(0)).alias("n_triangles"), (F.coalesce("sum", F.lit(0.0)) / F.col("n_nodes")).alias("clustering"))
+
+
 def quality_score(plddt: Column, ratio: Column, rg: Column, size: Column, coverage: Column) -> Column:
     """0 to 100: confidence up to 50, contact ratio up to 25, compactness up to 15, coverage up to 10."""
     by_root = rg / F.sqrt(size)  # fixed values: the steps of compactness and the weights
@@ -104,7 +172,8 @@ def smallest_container(spans: DataFrame) -> DataFrame:
     """Of each span (prot, start, end) the smallest other span of the protein that contains it, if any."""
     outer = spans.select("prot", F.col("start").alias("o_start"), F.col("end").alias("o_end")).distinct()
     inner = spans.select("prot", "start", "end").distinct()
-    met = inner.join(outer, "prot").where("o_start <= start and end <= o_end and (o_start < start or end < o_end)")
+    starts = inner.withColumn("at", F.col("start"))  # a container holds the start, so it's enough to look there
+    met = overlap_join(starts, outer, "prot", "start", "at", "o_start", "o_end").drop("at").where("end <= o_end and (o_start < start or end < o_end)")
     best = met.groupBy("prot", "start", "end").agg(F.min(F.struct((F.col("o_end") - F.col("o_start")).alias("span"), "o_start", "o_end")).alias("p"))
     return inner.join(best, ["prot", "start", "end"], "left").select("prot", "start", "end", F.col("p.o_start").alias("parent_start"), F.col("p.o_end").alias("parent_end"))
 
@@ -188,10 +257,14 @@ def grown(edges: DataFrame, seeds: DataFrame, min_weight: float, min_size: int =
 
 
 def nearest_seed(residues: DataFrame, seeds: DataFrame) -> DataFrame:
-    """prot, idx, dom: the nearest seed (prot, dom, sx, sy, sz) of each residue (ties: the smallest)."""
-    d2 = sum(((F.col(a) - F.col(f"s{a}")) * (F.col(a) - F.col(f"s{a}")) for a in "xyz"), F.lit(0.0))
-    rows = residues.join(seeds, "prot").groupBy("prot", "idx").agg(F.min(F.struct(d2.alias("d2"), "dom")).alias("best"))
-    return rows.select("prot", "idx", "best.dom")
+    """prot, idx, dom: the nearest seed (prot, dom, sx, sy, sz) of each residue (ties: the smallest).
+
+    The seeds of a protein come as one array to each of its residues, so no pair of residue and seed is shuffled.
+    """
+    listed = seeds.groupBy("prot").agg(F.collect_list(F.struct("dom", "sx", "sy", "sz")).alias("seeds"))
+    d2 = lambda s: sum(((F.col(a) - s[f"s{a}"]) * (F.col(a) - s[f"s{a}"]) for a in "xyz"), F.lit(0.0))
+    best = F.array_min(F.transform("seeds", lambda s: F.struct(d2(s).alias("d2"), s["dom"].alias("dom"))))
+    return residues.join(listed, "prot").select("prot", "idx", best["dom"].alias("dom"))
 
 
 def kmeans(residues: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
@@ -258,3 +331,73 @@ def predicted_domains(residues: DataFrame, max_distance: float, sigma: float, cu
     members = cut(communities(edges).join(loose, ["prot", "idx"], "left_anti"), "members")
     good = contact_figures(edges, members).where((F.col("size") >= min_size) & (F.col("ratio") >= min_ratio)).select("prot", "dom")
     return members.join(good, ["prot", "dom"], "left_semi").select("prot", "idx", "dom")
+
+
+def peak_seeds(residues: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """prot, idx: peaks of confidence within ten residues, the highest first, each at least ten residues from those before."""
+    around = Window.partitionBy("prot").orderBy("idx").rowsBetween(-10, 10)
+    peaks = residues.withColumn("top", F.max("plddt").over(around)).where("plddt >= top - 0.1").select("prot", "idx", (-F.round("plddt", 6)).alias("rank"))
+    a = peaks.select("prot", F.col("idx").alias("a"), (F.col("idx") - 9).alias("lo"), (F.col("idx") + 9).alias("hi"))
+    b = peaks.select("prot", F.col("idx").alias("b"), F.col("idx").alias("b_end"))
+    near = overlap_join(a, b, "prot", "lo", "hi", "b", "b_end", 32).where("a < b").select("prot", "a", "b")
+    return greedy_picks(peaks, near, "prot", "idx", "rank").where("idx = head").select("prot", "idx")
+
+
+def grid_seeds(residues: DataFrame, spacing: float = 20.0, min_plddt: float = 70.0) -> DataFrame:
+    """prot, idx: the confident residue nearest to each point of a grid around the protein (ties: the smallest). Every residue
+    offers itself to the eight corners of its cell; corners of empty cells only have no seed of their own."""
+    low = residues.groupBy("prot").agg(*[F.min(c).alias(f"l{c}") for c in "xyz"])
+    rows = residues.where(F.col("plddt") >= min_plddt).join(low, "prot")
+    corner = lambda c: F.floor((F.col(c) - F.col(f"l{c}")) / spacing).cast("bigint")
+    steps = F.array(F.lit(0), F.lit(1))
+    corners = F.flatten(F.flatten(F.transform(steps, lambda a: F.transform(steps, lambda b: F.transform(steps, lambda c: F.struct((corner("x") + a).alias("gx"), (corner("y") + b).alias("gy"), (corner("z") + c).alias("gz")))))))
+    rows = rows.select("*", F.explode(corners).alias("g"))
+    d2 = sum(((F.col(c) - F.col(f"l{c}") - F.col(f"g.g{c}") * spacing) ** 2 for c in "xyz"), F.lit(0.0))
+    best = rows.groupBy("prot", "g").agg(F.min(F.struct(F.round(d2, 6).alias("d2"), "idx")).alias("best"))
+    return best.select("prot", "best.idx").distinct()
+
+
+def random_seeds(residues: DataFrame, n: int = 5, min_plddt: float = 85.0, min_distance: float = 15.0, salt: str = "42") -> DataFrame:
+    """prot, idx: up to n confident residues in a random order that repeats, each at least min_distance from those before."""
+    rows = residues.where(F.col("plddt") >= min_plddt).withColumn("rank", F.md5(F.concat_ws("/", F.lit(salt), "prot", "idx")))
+    near = contacts(rows, min_distance).where(F.col("d") < min_distance).select("prot", F.col("i").alias("a"), F.col("j").alias("b"))
+    picks = greedy_picks(rows.select("prot", "idx", "rank"), near, "prot", "idx", "rank").where("idx = head").select("prot", "idx")
+    first = Window.partitionBy("prot").orderBy("rank")
+    ranked = picks.join(rows.select("prot", "idx", "rank"), ["prot", "idx"]).withColumn("k", F.row_number().over(first))
+    return ranked.where(F.col("k") <= n).select("prot", "idx")
+
+
+# strategies that choose seeds; further ones are added under their name
+SEEDS = {"plddt_peaks": peak_seeds, "grid": grid_seeds, "random": random_seeds}
+
+
+def seeds_by(residues: DataFrame, strategy: str, **parameters) -> DataFrame:
+    """prot, idx of the seeds that a strategy chooses."""
+    return SEEDS[strategy](residues, **parameters)
+
+
+def trimmed_to_structured(residues: DataFrame, domains: DataFrame, cutoff: float = 70, min_size: int = 1) -> DataFrame:
+    """domains (prot, dom, s, e) from their first to their last residue of at least the cutoff; those without one, or shorter
+    than min_size then, leave."""
+    good = residues.where(F.col("plddt") >= cutoff).select("prot", F.col("idx").alias("at"), F.col("idx").alias("at_end"))
+    met = overlap_join(domains.select("prot", "dom", "s", "e"), good, "prot", "s", "e", "at", "at_end")
+    rows = met.groupBy("prot", "dom").agg(F.min("at").alias("s"), F.max("at").alias("e"))
+    return rows.where(F.col("e") - F.col("s") + 1 >= min_size)
+
+
+def with_small_merged(edges: DataFrame, members: DataFrame, min_size: int) -> DataFrame:
+    """members (prot, idx, dom) with each domain under min_size added to the one with most contacts to it (ties: the smallest),
+    the smallest domain first (ties: the smallest number), until none is left that has contacts to another."""
+    members = members.select("prot", "idx", "dom")
+    while True:
+        sizes = members.groupBy("prot", "dom").agg(F.count("*").alias("n"))
+        ends = _ends(edges, members).where("dom_i <> dom_j")
+        sides = F.explode(F.array(F.struct(F.col("dom_i").alias("dom"), F.col("dom_j").alias("other")), F.struct(F.col("dom_j").alias("dom"), F.col("dom_i").alias("other"))))
+        links = ends.select("prot", sides.alias("x")).groupBy("prot", "x.dom", "x.other").agg(F.count("*").alias("k"))
+        best = links.groupBy("prot", "dom").agg(F.max(F.struct("k", (-F.col("other")).alias("minus"))).alias("b"))
+        small = best.join(sizes.where(F.col("n") < min_size), ["prot", "dom"])
+        first = small.groupBy("prot").agg(F.min(F.struct("n", "dom", F.col("b.minus").alias("minus"))).alias("m"))
+        moves = cut(first.select("prot", "m.dom", (-F.col("m.minus")).alias("into")), "moves")
+        if moves.isEmpty():
+            return members
+        members = cut(members.join(moves, ["prot", "dom"], "left").select("prot", "idx", F.coalesce("into", "dom").alias("dom")), "members")
