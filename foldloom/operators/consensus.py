@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.functions.intervals import shorter_fraction
+from foldloom.operators.greedy import greedy_picks
+from foldloom.operators.intervals import overlap_join
+from foldloom.scratch import cut
 
 
 def clusters_by_start(rows: DataFrame, keys: list[str], s: str, order: list[str], tolerance: int) -> DataFrame:
@@ -77,15 +80,13 @@ def scored(clusters: DataFrame, total: str) -> DataFrame:
 def without_overlaps(clusters: DataFrame, key: str, s: str, e: str, score: str, max_overlap: float = 0.5) -> DataFrame:
     """By falling score (ties: start, end), the domains that no better kept domain of the key overlaps by more than
     max_overlap of the shorter of the two."""
-    item = F.struct((-F.col(score)).alias("rank"), F.col(s).alias("s"), F.col(e).alias("e"))
-    empty = F.lit(None).cast("array<struct<rank: double, s: bigint, e: bigint>>")
-    ranked = clusters.groupBy(key).agg(F.sort_array(F.collect_set(item)).alias("items"))
-    kept = F.aggregate(
-        "items",
-        F.coalesce(empty, F.array().cast("array<struct<rank: double, s: bigint, e: bigint>>")),
-        lambda acc, x: F.when(F.exists(acc, lambda y: shorter_fraction(x["s"], x["e"], y["s"], y["e"]) > max_overlap), acc).otherwise(F.array_append(acc, x)),
-    )
-    return ranked.select(key, F.inline(kept)).select(key, F.col("s").alias(s), F.col("e").alias(e), (-F.col("rank")).alias(score))
+    rows = clusters.select(key, F.col(s).alias("s"), F.col(e).alias("e"), (-F.col(score)).alias("rank")).distinct()
+    rows = cut(rows.withColumn("node", F.struct("rank", "s", "e")), "clusters")
+    other = rows.select(key, F.col("node").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    near = overlap_join(rows.select(key, F.col("node").alias("a"), "s", "e"), other, key, "s", "e", "s2", "e2").where("a < b")
+    near = near.where(shorter_fraction("s", "e", "s2", "e2") > max_overlap).select(key, "a", "b")
+    kept = greedy_picks(rows.select(key, "node", F.col("node.rank").alias("rank")), near, key, "node", "rank").where("node = head")
+    return kept.select(key, F.col("node.s").alias(s), F.col("node.e").alias(e), (-F.col("node.rank")).alias(score))
 
 
 def method_consistency(rows: DataFrame, family: str, method: str, sequence: str, s: str, e: str) -> DataFrame:

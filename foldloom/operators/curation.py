@@ -93,4 +93,4 @@ def newer_than(source: DataFrame, target: DataFrame, key: str, changed: str) ->
 
 def sample_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
     """n rows with the smallest hash of key: the same rows in every run."""
-    return df.withColumn("_h", F.xxhash64(key)).orderBy("_h", key).limit(n).drop("_h")
+    return df.withColumn("_h", F.md5(F.col(key).cast("string"))).orderBy("_h", key).limit(n).drop("_h")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldloom.operators.intervals import overlap_join
-from foldloom.scratch import cut
+from foldloom.scratch import Pile, cut
 
 
 def iou_pairs(true: DataFrame, pred: DataFrame) -> DataFrame:
@@ -27,15 +27,16 @@ def matched(pairs: DataFrame) -> DataFrame:
     A pair that is the best both of its true and of its predicted domain is what the greedy choice takes in any case;
     so all such pairs are taken at once in all proteins, their domains leave, and it goes on until no pair is left.
     """
-    left, found = cut(pairs.select("prot", "t", "p", "iou"), "pairs"), None
+    left = cut(pairs.select("prot", "t", "p", "iou"), "pairs")
+    pile = Pile(left, "found")
     while not left.isEmpty():
         rank = F.struct("iou", (-F.col("t")).alias("mt"), (-F.col("p")).alias("mp"))
         best = lambda side, name: left.groupBy("prot", side).agg(F.max(rank).alias(name))
         both = left.join(best("t", "bt"), ["prot", "t"]).join(best("p", "bp"), ["prot", "p"]).where((F.col("bt") == rank) & (F.col("bp") == rank))
         both = cut(both.select("prot", "t", "p", "iou"), "matched")
-        found = both if found is None else found.unionByName(both)
+        pile.add(both)
         left = cut(left.join(both.select("prot", "t"), ["prot", "t"], "left_anti").join(both.select("prot", "p"), ["prot", "p"], "left_anti").select("prot", "t", "p", "iou"), "pairs")
-    return found if found is not None else left
+    return pile.rows()
 
 
 def protein_scores(true: DataFrame, pred: DataFrame, matches: DataFrame, threshold: float = 0.8) -> DataFrame:

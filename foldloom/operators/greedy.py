@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldloom.scratch import cut
+from foldloom.scratch import Pile, cut
 
 
 def greedy_picks(nodes: DataFrame, conflicts: DataFrame, group: str, node: str, rank: str) -> DataFrame:
@@ -22,16 +22,16 @@ def greedy_picks(nodes: DataFrame, conflicts: DataFrame, group: str, node: str,
     first = ranks.select(group, F.col(node).alias("a"), F.col("at").alias("at_a"))
     second = ranks.select(group, F.col(node).alias("b"), F.col("at").alias("at_b"))
     before = cut(both.join(first, [group, "a"]).join(second, [group, "b"]).where("at_a < at_b"), "conflicts")
-    left, picked = cut(ranks, "left"), None
+    left = cut(ranks, "left")
+    pile = Pile(left.select(group, node), "picks")
     while not left.isEmpty():
         open_ = before.join(left.select(group, F.col(node).alias("b")), [group, "b"], "left_semi")
         waits = open_.join(left.select(group, F.col(node).alias("a")), [group, "a"], "left_semi").select(group, F.col("b").alias(node)).distinct()
         now = cut(left.join(waits, [group, node], "left_anti").select(group, node), "picked")
         taken = open_.join(now.select(group, F.col(node).alias("a")), [group, "a"], "left_semi").select(group, F.col("b").alias(node))
         left = cut(left.join(now.unionByName(taken), [group, node], "left_anti"), "left")
-        picked = now if picked is None else picked.unionByName(now)
-    if picked is None:
-        return left.select(group, node, F.col(node).alias("head"))
+        pile.add(now)
+    picked = pile.rows()
     heads = before.join(picked.select(group, F.col(node).alias("a")), [group, "a"], "left_semi").groupBy(group, "b").agg(F.min("at_a").alias("by"))
     rest = heads.join(picked.select(group, F.col(node).alias("b")), [group, "b"], "left_anti").select(group, F.col("b").alias(node), F.col("by.n").alias("head"))
     return picked.select(group, node, F.col(node).alias("head")).unionByName(rest)
@@ -44,7 +44,7 @@ def first_for_both_keys(pairs: DataFrame, pair: str, key_a: str, key_b: str, ran
     kept at once; rows that use a key of a kept one leave, and it goes on. Keys are of one type and never null.
     """
     left = cut(pairs.select(pair, key_a, key_b, F.struct(F.col(rank).alias("r"), F.col(pair).alias("p")).alias("at")), "left")
-    kept = None
+    pile = Pile(left.select(pair, key_a, key_b), "kept")
     while not left.isEmpty():
         keys = left.select("at", F.explode(F.array(key_a, key_b)).alias("key"))
         first = keys.groupBy("key").agg(F.min("at").alias("first"))
@@ -54,5 +54,5 @@ def first_for_both_keys(pairs: DataFrame, pair: str, key_a: str, key_b: str, ran
         used = now.select(F.explode(F.array(key_a, key_b)).alias("key")).distinct()
         rest = left.join(used.withColumnRenamed("key", key_a), key_a, "left_anti").join(used.withColumnRenamed("key", key_b), key_b, "left_anti")
         left = cut(rest.select(pair, key_a, key_b, "at"), "left")
-        kept = now if kept is None else kept.unionByName(now)
-    return (kept if kept is not None else left).select(pair, key_a, key_b)
+        pile.add(now)
+    return pile.rows()

@@ -60,3 +60,11 @@ def without_intrusions(labels: DataFrame, keys: list[str], index: str, label: st
     found = found.withColumns({"_before": F.lag("_own").over(along), "_after": F.lead("_own").over(along)})
     taken = F.when((F.col("_n") < least) & (F.col("_before") == F.col("_after")), F.col("_before")).otherwise(F.col("_own"))
     return rows.join(found.select(*keys, "_run", taken.alias("_new")), [*keys, "_run"]).withColumn(label, F.col("_new")).drop("_change", "_run", "_new")
+
+
+def spaced(df: DataFrame, keys: list[str], index: str, least: int) -> DataFrame:
+    """keys and index: along each group the first row, then each one at least `least` behind the last one taken."""
+    ordered = F.sort_array(F.collect_set(index))
+    empty = F.array().cast(f"array<{dict(df.dtypes)[index]}>")
+    taken = F.aggregate("_all", empty, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= least), F.array_append(acc, x)).otherwise(acc))
+    return df.groupBy(*keys).agg(ordered.alias("_all")).select(*keys, F.explode(taken).alias(index))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,14 @@ def domain_pairs(errors: DataFrame, members: DataFrame, near: DataFrame | None =
     return sums.join(least, ["prot", "a", "b"], "left")
 
 
+def adapted_threshold(median: Column, upper: Column, base: float) -> Column:
+    """The threshold of merges for a protein with these quartiles of its errors: the upper one where errors are low, at
+    most the base; else the base by the median."""
+    # fixed values: what counts as low, the usual median, and how far the base may move
+    scaled = F.greatest(F.lit(0.2 * base), F.least(F.lit(2.0 * base), base * median / 5))
+    return F.when(median < 6, F.least(upper, F.lit(base))).otherwise(scaled)
+
+
 class _Table:
     """Mean errors and least distances between the domains of one protein, kept up to date over merges."""
 

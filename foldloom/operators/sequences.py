@@ -113,6 +113,28 @@ def non_redundant(df: DataFrame, family: str, key: str, aln: str, identity: floa
     return _representatives(rows, every, cut(_alike_pairs(rows, identity), "alike"), key)
 
 
+def identity_ladder(df: DataFrame, family: str, key: str, aln: str, identities: tuple[float, ...] = (0.8, 0.85, 0.9, 0.95, 1.0)) -> DataFrame:
+    """key, representative and identity: non_redundant at the first identity; families left with one representative are done
+    again at the next one, until they have more or the last one is reached."""
+    left, done = df, None
+    for k, identity in enumerate(identities):
+        found = non_redundant(left, family, key, aln, identity)
+        named = left.select(F.col(key), F.col(family).alias("_family"))
+        found = cut(found.join(named, key).withColumn("identity", F.lit(identity)), "ladder")
+        single = found.groupBy("_family").agg(F.countDistinct("representative").alias("n"), F.count("*").alias("rows")).where("n = 1 and rows > 1").select("_family")
+        if k + 1 < len(identities):
+            single = cut(single, "single")
+            settled = found.join(single, "_family", "left_anti")
+            left = left.join(single.withColumnRenamed("_family", family), family, "left_semi")
+        else:
+            settled = found
+        part = settled.select(key, "representative", "identity")
+        done = part if done is None else done.unionByName(part)
+        if k + 1 < len(identities) and single.isEmpty():
+            break
+    return done
+
+
 def superposed(pairs: DataFrame, key: list[str]) -> DataFrame:
     """key, n, rmsd and rotation (nine numbers, by rows) that lays the points x2, y2, z2 best on x, y, z.
 

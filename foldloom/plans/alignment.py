@@ -10,7 +10,7 @@ from foldloom.operators import alignment as al
 from foldloom.operators import consensus as co
 from foldloom.operators.intervals import overlap_join
 from foldloom.operators.islands import merged, runs
-from foldloom.plans.registry import Plans
+from foldloom.plans.registry import Plans, greedy
 from foldloom.sources import fixtures as fx
 from foldloom.sources.tables import table
 
@@ -162,13 +162,21 @@ def a21_method_consistency(spark, folder):
     return co.method_consistency(rows, "prot", "method", "day", "s", "e")
 
 
-@query()
+@query(
+    """select prot, c.cluster as cluster, count(*) as n, min(p.s) as first_s, max(p.e) as last_e from (select prot, unnest(list_reduce(list([{'s': s, 'e': e, 'cluster': 0}] order by s, e), lambda acc, x: list_concat(acc, [{'s': x[1].s, 'e': x[1].e,
+'cluster': case when len(list_filter(acc, lambda y: y.cluster = acc[-1].cluster and (abs(y.s - x[1].s) < 10 or abs(y.e - x[1].e) < 10))) > 0 then acc[-1].cluster else acc[-1].cluster + 1 end}]))) as c from (select distinct prot, s, e from fx_pred) group by prot)
+join fx_pred p using (prot) where p.s = c.s and p.e = c.e group by prot, c.cluster"""
+)
 def x33_clusters_by_similarity(spark, folder):
     rows = co.clusters_by_similarity(fx.predictions(spark, folder), "prot", "s", "e", 10)
     return rows.groupBy("prot", "cluster").agg(F.count("*").alias("n"), F.min("s").alias("first_s"), F.max("e").alias("last_e"))
 
 
-@query()
+@query(
+    f"""select prot, k.s as cons_s, k.e as cons_e, k.score as combined from ({greedy("sc", ["prot"], "{'s': cons_s, 'e': cons_e, 'score': score}", "score desc, cons_s, cons_e",
+    "case when greatest(y.s, x[1].s) >= least(y.e, x[1].e) then 0 else (least(y.e, x[1].e) - greatest(y.s, x[1].s) + 1) / least(y.e - y.s + 1, x[1].e - x[1].s + 1) end > 0.5")})""",
+    f"{_CL}, sc as (select distinct prot, cons_s, cons_e, round(0.5 * (n_methods / 3.0::double) + 0.5 * (n_sequences / total), 6) as score from agg join tot using (prot))",
+)
 def x35_non_overlapping_consensus(spark, folder):
     total = fx.predictions(spark, folder).groupBy("prot").agg(F.countDistinct("day").alias("total"))
     rows = co.scored(_consensus(spark, folder).join(total, "prot"), "total")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foldloom.operators import evaluation as ev
-from foldloom.plans.registry import Plans
+from foldloom.plans.registry import Plans, greedy
 from foldloom.sources import fixtures as fx
 from foldloom.sources.lines import truth_lines
 
@@ -50,12 +50,21 @@ def x37_mutually_best(spark, folder):
     return rows.select("prot", "t", "p", F.round("iou", 6).alias("iou"))
 
 
-@query()
+_MATCH = f"""{_P}, mt as (select prot, k.t as t, k.p as p, k.iou as iou from ({greedy("io", ["prot"], "{'t': t, 'p': p, 'iou': iou}", "iou desc, t, p", "y.t = x[1].t or y.p = x[1].p")})),
+sco as (select *, 0.7 * weighted_iou + 0.3 * greatest(0::double, 1 - abs(n_pred - n_true) / greatest(n_true, 1)) as score from (select prot, coalesce(a.n, 0) as n_true, coalesce(b.n, 0) as n_pred, coalesce(g.n_good, 0) as n_good,
+  case when coalesce(a.n, 0) = 0 then 1.0::double else coalesce(g.hit, 0) / a.len end as weighted_iou from (select prot, count(*) as n, sum(e - s + 1) as len from tr group by prot) a
+  full join (select prot, count(*) as n from pr group by prot) b using (prot)
+  left join (select m.prot, sum(m.iou * (t.e - t.s + 1)) as hit, count(*) filter (m.iou >= 0.8) as n_good from mt m join tr t on t.prot = m.prot and t.dom = m.t group by m.prot) g using (prot))),
+cls as (select *, case when n_true = 0 and n_pred = 0 then 'no_domains_correct' when n_true = 0 then 'false_positive' when n_pred = 0 then 'false_negative' when n_good = n_true and n_good = n_pred then 'correct'
+  when n_pred < n_true then 'under_split' when n_pred > n_true then 'over_split' else 'boundary_error' end as error from sco)"""
+
+
+@query("select prot, t, p, round(iou, 6) as iou from mt", _MATCH)
 def x37_greedy_matches(spark, folder):
     return ev.matched(_pairs(spark, folder)).withColumn("iou", F.round("iou", 6))
 
 
-@query()
+@query("select prot, n_true, n_pred, n_good, round(weighted_iou, 6) as weighted_iou, round(score, 6) as score, case when score >= 0.9 then 'GOOD' when score >= 0.7 then 'OK' else 'BAD' end as status, error from cls", _MATCH)
 def a27_protein_scores(spark, folder):
     """A27, A29, P32 and P33 for each protein."""
     true, pred = _sides(spark, folder)
@@ -63,7 +72,11 @@ def a27_protein_scores(spark, folder):
     return scores.withColumns({c: F.round(c, 6) for c in ("weighted_iou", "score")})
 
 
-@query()
+@query(
+    """select count(*) as n, round(avg(weighted_iou), 6) as mean_iou, round(avg(abs(n_pred - n_true)), 6) as mean_count_error, count(*) filter (error = 'under_split') as n_under,
+count(*) filter (error = 'over_split') as n_over, count(*) filter (error = 'correct') as n_correct from cls""",
+    _MATCH,
+)
 def a29_benchmark_summary(spark, folder):
     true, pred = _sides(spark, folder)
     scores = ev.protein_scores(true, pred, ev.matched(_pairs(spark, folder)))

@@ -11,10 +11,10 @@ from foldloom.operators import partition as pt
 from foldloom.operators import structure as st
 from foldloom.operators.greedy import first_for_both_keys, greedy_picks
 from foldloom.operators.intervals import overlap_join
-from foldloom.operators.islands import core_segments, merged, runs, without_intrusions
+from foldloom.operators.islands import core_segments, merged, runs, spaced, without_intrusions
 from foldloom.operators.sequences import non_redundant, sequence_clusters, superposed
 from foldloom.plans.mapping import _midpoint_pairs
-from foldloom.plans.registry import Plans
+from foldloom.plans.registry import Plans, greedy
 from foldloom.plans.structure import _BR, _E, REACH, SIGMA, _bridges, _edges, _figures, _members
 from foldloom.scratch import cut
 from foldloom.sources import fixtures as fx
@@ -44,7 +44,12 @@ def x08_contacts_between_domains(spark, folder):
     return _density(spark, folder).withColumn("density", F.round("density", 6))
 
 
-@query()
+@query(
+    """select n.prot, n.dom, coalesce(min(p.dom), n.dom) as head from (select distinct prot, dom from mem) n left join (select prot, unnest(picks).dom as dom from picked) p
+on p.prot = n.prot and (p.dom = n.dom or (p.dom < n.dom and exists (select 1 from den d where d.prot = n.prot and d.a = p.dom and d.b = n.dom and d.density > 0.05) and not exists (select 1 from (select prot, unnest(picks).dom as dom from picked) q where q.prot = n.prot and q.dom = n.dom))) group by n.prot, n.dom""",
+    f"""{_DEN}, per as (select m.prot, list([{{'dom': m.dom}}] order by m.dom) as items, any_value(coalesce(c.cf, [])) as cf from (select distinct prot, dom from mem) m left join (select prot, list(concat(a, '/', b)) as cf from den where density > 0.05 group by prot) c using (prot) group by m.prot),
+picked as (select prot, list_reduce(items, lambda acc, x: case when len(list_filter(acc, lambda y: list_contains(cf, concat(y.dom, '/', x[1].dom)))) > 0 then acc else list_concat(acc, x) end) as picks from per)""",
+)
 def x08_merged_domains(spark, folder):
     """Domains in order of their start take those behind them that are in close contact."""
     nodes = _members(spark, folder).select("prot", "dom").distinct()
@@ -103,11 +108,16 @@ from e join (select distinct prot, dom * 25 + 1 as c from mem where dom > 0) usi
     _E,
 )
 def x19_candidate_cuts(spark, folder):
+    """Sums of weights in front of each cut, from running sums by either end of the contacts."""
     cuts = _members(spark, folder).where("dom > 0").select("prot", (F.col("dom") * 25 + 1).alias("c")).distinct()
-    rows = _edges(spark, folder).join(cuts, "prot")
-    part = lambda cond: F.sum(F.when(F.expr(cond), F.col("w")).otherwise(0.0))
-    crossing = part("i < c and j >= c") / F.sum("w")
-    return rows.groupBy("prot", "c").agg(F.round(crossing, 6).alias("crossing"), F.round(part("j < c"), 6).alias("before"), F.round(part("i >= c"), 6).alias("after"))
+    edges = _edges(spark, folder)
+    zero = F.lit(0.0)
+    at = edges.select("prot", F.col("i").alias("c"), F.col("w").alias("wi"), zero.alias("wj")).unionAll(edges.select("prot", "j", zero, "w"))
+    at = at.groupBy("prot", "c").agg(F.sum("wi").alias("wi"), F.sum("wj").alias("wj")).join(cuts.withColumn("is_cut", F.lit(True)), ["prot", "c"], "full")
+    before = Window.partitionBy("prot").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    rows = at.withColumns({"begun": F.coalesce(F.sum("wi").over(before), zero), "ended": F.coalesce(F.sum("wj").over(before), zero), "all": F.sum("wi").over(Window.partitionBy("prot"))})
+    rows = rows.where("is_cut and all is not null")
+    return rows.select("prot", "c", F.round((F.col("begun") - F.col("ended")) / F.col("all"), 6).alias("crossing"), F.round("ended", 6).alias("before"), F.round(F.col("all") - F.col("begun"), 6).alias("after"))
 
 
 @query(
@@ -164,15 +174,13 @@ def a38_partition_score(spark, folder):
     return rows.select("prot", F.round(1000 * F.col("q") - 0.5 * F.col("crossings") - 5 * F.col("k"), 4).alias("score"))
 
 
-@query()
+@query(
+    f"""select prot, k.idx as idx from ({greedy("peak", ["prot"], "{'idx': idx}", "round(plddt, 6) desc, idx", "abs(y.idx - x[1].idx) <= 9")})""",
+    "peak as (select prot, idx, plddt from (select *, max(plddt) over (partition by prot order by idx rows between 10 preceding and 10 following) as top from fx_res) where plddt >= top - 0.1)",
+)
 def x23_spaced_seeds(spark, folder):
     """Peaks of confidence, the highest first, each at least ten residues from those before."""
-    around = Window.partitionBy("prot").orderBy("idx").rowsBetween(-10, 10)
-    peaks = fx.residues(spark, folder).withColumn("top", F.max("plddt").over(around)).where("plddt >= top - 0.1").select("prot", "idx", (-F.round("plddt", 6)).alias("rank"))
-    a = peaks.select("prot", F.col("idx").alias("a"), (F.col("idx") - 9).alias("lo"), (F.col("idx") + 9).alias("hi"))
-    b = peaks.select("prot", F.col("idx").alias("b"), F.col("idx").alias("b_end"))
-    near = overlap_join(a, b, "prot", "lo", "hi", "b", "b_end", 32).where("a < b").select("prot", "a", "b")
-    return greedy_picks(peaks, near, "prot", "idx", "rank").where("idx = head").select("prot", "idx")
+    return st.seeds_by(fx.residues(spark, folder), "plddt_peaks")
 
 
 @query()
@@ -182,12 +190,8 @@ def x17_fiedler_vectors(spark, folder):
 
 @query()
 def w11_split_candidates(spark, folder):
-    """W11: candidates from the vectors, the first of those within 30 residues."""
-    found = pt.split_candidates(pt.fiedler(_edges(spark, folder))).select("prot", "idx").distinct()
-    a = found.select("prot", F.col("idx").alias("a"), (F.col("idx") + 1).alias("lo"), (F.col("idx") + 29).alias("hi"))
-    b = found.select("prot", F.col("idx").alias("b"), F.col("idx").alias("b_end"))
-    near = overlap_join(a, b, "prot", "lo", "hi", "b", "b_end", 64).select("prot", "a", "b")
-    return greedy_picks(found, near, "prot", "idx", "idx").where("idx = head").select("prot", "idx")
+    """W11: candidates from the vectors, each at least 30 residues behind the one before."""
+    return spaced(pt.split_candidates(pt.fiedler(_edges(spark, folder))), ["prot"], "idx", 30)
 
 
 @query()
@@ -197,7 +201,11 @@ def x20_best_segments(spark, folder):
     return pt.best_segments(_edges(spark, folder), lengths, [0.0, 0.05, 0.2], 10)
 
 
-@query()
+@query(
+    f"""select prot, k.t as t, k.p as p, round(k.iou, 6) as similarity from ({greedy("near", ["prot"], "{'t': t, 'p': p, 'iou': iou}", "iou desc, t, p", "y.t = x[1].t or y.p = x[1].p")})""",
+    """bt as (select distinct prot, unnest([s, e]) as b from fx_pred where method = 'purchase'), bp as (select distinct prot, unnest([s, e]) as b from fx_pred where method = 'signup'),
+near as (select t.prot, t.b as t, p.b as p, 1 - abs(t.b - p.b) / 10.0::double as iou from bt t join bp p on p.prot = t.prot and abs(t.b - p.b) <= 9)""",
+)
 def x38_matched_boundaries(spark, folder):
     """Boundaries of two methods within ten residues, matched one to one by similarity."""
     side = lambda m: fx.predictions(spark, folder).where(F.col("method") == m).select("prot", F.explode(F.array("s", "e")).alias("b")).distinct()
@@ -207,7 +215,13 @@ def x38_matched_boundaries(spark, folder):
     return ev.matched(pairs).select("prot", "t", "p", F.round("iou", 6).alias("similarity"))
 
 
-@query()
+@query(
+    "select prot, k, overlap from (select *, row_number() over (partition by prot order by overlap, k) as place from (select prot, k, round(sum(area), 6) as overlap from area group by prot, k)) where place = 1",
+    f"""{_E}, view as (select cast(k as integer) as k, k * pi() * (3 - sqrt(5.0::double)) as th, acos(1 - 2 * (k + 0.5) / 1000.0::double) as ph from range(1000) u(k)),
+box as (select prot, k, dom, min(u) as u1, max(u) as u2, min(w) as w1, max(w) as w2 from (select prot, dom, k, -sin(th) * x + cos(th) * y as u, cos(th) * cos(ph) * x + sin(th) * cos(ph) * y - sin(ph) * z as w from mem, view) group by all),
+area as (select a.prot, a.k, greatest(0, least(a.u2, b.u2) - greatest(a.u1, b.u1)) * greatest(0, least(a.w2, b.w2) - greatest(a.w1, b.w1)) as area from box a join box b on b.prot = a.prot and b.k = a.k and a.dom < b.dom
+  union all select distinct prot, k, 0 from box)""",
+)
 def x42_best_rotation(spark, folder):
     """X42 and P37."""
     return pt.best_rotation(fx.residues(spark, folder), _members(spark, folder), 1000)
@@ -244,7 +258,10 @@ def x01_bridged_components(spark, folder):
     return st.components(_bridges(spark, folder).select("prot", F.col("start").alias("a"), F.col("end").alias("b")), "prot", "a", "b")
 
 
-@query()
+@query(
+    f"""select prot, k.s as s, k.e as e from ({greedy("(select distinct prot, s, e from fx_pred)", ["prot"], "{'s': s, 'e': e}", "s - e, s, e",
+    "case when greatest(y.s, x[1].s) >= least(y.e, x[1].e) then 0 else (least(y.e, x[1].e) - greatest(y.s, x[1].s) + 1) / least(y.e - y.s + 1, x[1].e - x[1].s + 1) end >= 0.8")})"""
+)
 def x26_consolidated_ranges(spark, folder):
     """Predicted ranges, the longest first, without those that share four fifths of the shorter with one before."""
     rows = fx.predictions(spark, folder).select("prot", "s", "e").distinct().withColumn("node", F.struct("s", "e"))
@@ -255,7 +272,14 @@ def x26_consolidated_ranges(spark, folder):
     return picks.where("node = head").select("prot", "node.s", "node.e")
 
 
-@query()
+@query(
+    f"""select least(k.fa, k.fb) as fam_1, greatest(k.fa, k.fb) as fam_2, count(*) as n_common, round(sum(k.score), 4) as sum_score
+from ({greedy("once", ["acc"], "{'ka': ka, 'kb': kb, 'fa': fam_a, 'fb': fam_b, 'score': score}", "ao, al, fam_a, a_s, a_e, bo, bl, fam_b, b_s, b_e", "y.ka = x[1].ka or y.ka = x[1].kb or y.kb = x[1].ka or y.kb = x[1].kb")}) group by 1, 2""",
+    """once as (select a.acc, a.okey as ao, a.ln as al, a.fam as fam_a, a.s as a_s, a.e as a_e, b.okey as bo, b.ln as bl, b.fam as fam_b, b.s as b_s, b.e as b_e, min(exp(-a.evalue) * exp(-b.evalue)) as score,
+  concat_ws('/', a.okey, a.ln, a.fam, a.s, a.e, b.fam) as ka, concat_ws('/', b.okey, b.ln, b.fam, b.s, b.e, a.fam) as kb
+  from fx_region a join fx_region b on a.acc = b.acc and (a.okey, a.ln, a.fam, a.s, a.e) < (b.okey, b.ln, b.fam, b.s, b.e) and a.s <= b.e and b.s <= a.e
+  and ((a.s + a.e > 2 * b.s and a.s + a.e < 2 * b.e) or (b.s + b.e > 2 * a.s and b.s + b.e < 2 * a.e)) where a.fam <> b.fam group by all)""",
+)
 def a05_family_pairs_once(spark, folder):
     """A05 with each region counted once for each partner family, in order of the regions."""
     hit = lambda side: F.struct(F.col(f"{side}o"), F.col(f"{side}l"), F.col(f"fam_{side}"), F.col(f"{side}_s"), F.col(f"{side}_e"))

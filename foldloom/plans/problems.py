@@ -78,7 +78,30 @@ alignment_valid as (select * from alignment_rows where formed and version >= 1 a
 _ACC = "nullif(upper(trim(split_part({0}, '.', 1), ' ' || chr(9) || chr(10) || chr(13))), '')"
 _RANGE = "([0-9]+)(?:-|–|−|\\.\\.|:| - | – | − | to )([0-9]+)"
 
+# the reasons, in the order in which they are looked for
+_BARE, _QUOTED = r"""[^",\r\n]*""", r'"(?:[^"]|"")*"'
+_REASONS = rf"""
+region_why as (select l.line_id, o.raw_line, case when not regexp_matches(l.r, '^(?:{_BARE}|{_QUOTED})(?:,(?:{_BARE}|{_QUOTED}))*$', 's') then 'broken quoting'
+  when f.n <> 6 then concat(f.n, ' field', case when f.n = 1 then '' else 's' end, ' instead of 6')
+  when x.a = '' then 'empty id' when not regexp_full_match(x.b, 'PF[0-9]{{5,}}') then 'family isn''t an accession'
+  when not regexp_full_match(x.c, '[0-9]+') or x.s is null then 'start isn''t a whole number' when not regexp_full_match(x.d, '[0-9]+') or x.t is null then 'end isn''t a whole number'
+  when x.s < 1 then 'start under 1' when x.s > x.t then 'start behind end' else 'E-value isn''t a finite unsigned number' end as reason
+  from region_live l join region_lines o using (line_id) join region_rows x using (line_id)
+  join (select line_id, len(regexp_replace(r, '{_QUOTED}', 'q', 'gs')) - len(replace(regexp_replace(r, '{_QUOTED}', 'q', 'gs'), ',', '')) + 1 as n from region_live) f using (line_id)
+  where line_id not in (select line_id from region_valid)),
+alignment_parts as (select line_id, r, string_split(regexp_replace(trim(r, ' ' || chr(9)), '[ \t]+', chr(9), 'g'), chr(9)) as c from alignment_live),
+alignment_why as (select p.line_id, o.raw_line, case when not regexp_matches(p.r, '^(?:"[^" \t]*"[ \t]+[^"]*|[^"]*)$', 's') then 'broken quoting'
+  when len(p.c) <> 2 then concat(len(p.c), ' field', case when len(p.c) = 1 then '' else 's' end, ' instead of 2')
+  when not regexp_full_match(q.id, '{_ID}') then 'full id isn''t accession.version/start-end'
+  when coalesce(try_cast(regexp_extract(q.id, '{_ID}', 2) as bigint), 0) < 1 then 'version under 1'
+  when coalesce(try_cast(regexp_extract(q.id, '{_ID}', 3) as bigint), 0) < 1 then 'start under 1'
+  when try_cast(regexp_extract(q.id, '{_ID}', 4) as bigint) is null or try_cast(regexp_extract(q.id, '{_ID}', 3) as bigint) > try_cast(regexp_extract(q.id, '{_ID}', 4) as bigint) then 'start behind end'
+  when not regexp_full_match(p.c[2], '[A-Za-z.\-]+') then 'sequence holds more than letters, - and .' else 'letters don''t fill start to end' end as reason
+  from alignment_parts p join alignment_lines o using (line_id) join (select line_id, trim(c[1], '"') as id from alignment_parts) q using (line_id) where line_id not in (select line_id from alignment_valid))"""
+
 ORACLES = {
+    "p1_rejects": f"""with {_REGION}, {_ALIGNMENT}, {_REASONS}
+select 'region' as feed, line_id, raw_line, reason from region_why union all select 'alignment', line_id, raw_line, reason from alignment_why""",
     "p1_found": f"""with {_REGION}, {_ALIGNMENT}
 select 'region' as feed, line_id from region_live where line_id not in (select line_id from region_valid)
 union all select 'alignment' as feed, line_id from alignment_live where line_id not in (select line_id from alignment_valid)""",

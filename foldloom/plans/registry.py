@@ -11,6 +11,13 @@ from foldloom.sources.fixtures import with_views
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def greedy(source: str, keys: list[str], item: str, order: str, conflict: str) -> str:
+    """SQL of a pass over the rows of each group in order, which keeps an item unless a kept one is in conflict with it:
+    keys and the kept items as k. The condition compares a kept item y with the new one, x[1]."""
+    fold = f"list_reduce(list([{item}] order by {order}), lambda acc, x: case when len(list_filter(acc, lambda y: {conflict})) > 0 then acc else list_concat(acc, x) end)"
+    return f"select {', '.join(keys)}, unnest({fold}) as k from {source} group by {', '.join(keys)}"
+
+
 class Plans:
     def __init__(self):
         self.queries: dict[str, Query] = {}

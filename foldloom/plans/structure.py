@@ -86,8 +86,7 @@ def a24_graph_statistics(spark, folder):
     edges = _edges(spark, folder).select("prot", "i", "j", "w")
     nodes = fx.residues(spark, folder).groupBy("prot").agg(F.count("*").alias("n_nodes"))
     sums = edges.groupBy("prot").agg(F.count("*").alias("n_edges"), F.avg("w").alias("mean_w"))
-    paths = edges.select("prot", "i", "j").join(edges.select("prot", F.col("i").alias("j"), F.col("j").alias("k")), ["prot", "j"])
-    closed = paths.join(edges.select("prot", "i", F.col("j").alias("k")), ["prot", "i", "k"]).groupBy("prot").agg(F.count("*").alias("n_triangles"))
+    closed = st.triangles(edges).groupBy("prot").agg(F.count("*").alias("n_triangles"))
     n, m = F.col("n_nodes"), F.coalesce("n_edges", F.lit(0))
     return nodes.join(sums, "prot", "left").join(closed, "prot", "left").select(
         "prot", "n_nodes", m.alias("n_edges"), F.round(2.0 * m / n, 6).alias("mean_degree"), F.round(2.0 * m / (n * (n - 1)), 8).alias("density"), F.round("mean_w", 6).alias("mean_weight"), F.coalesce("n_triangles", F.lit(0)).alias("n_triangles")

@@ -278,7 +278,7 @@ def w16_capped_per_group(spark, folder):
     return table(spark, folder, "customer").withColumn("k", F.row_number().over(by)).where("k <= 5").select("c_custkey", "c_mktsegment")
 
 
-@query()
+@query("select c_custkey, c_name from customer order by md5(cast(c_custkey as varchar)), c_custkey limit 400")
 def w18_down_sample(spark, folder):
     return cu.sample_by_hash(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_custkey", 400)
 

@@ -68,3 +68,17 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Pile:
+    """Rows gathered over rounds in one table, which each round adds to."""
+
+    def __init__(self, like: DataFrame, name: str):
+        self.spark, self.schema, self.path = like.sparkSession, like.schema, f"{_folder(like.sparkSession)}/{name}-{uuid.uuid4().hex}"
+        like.limit(0).write.parquet(self.path)
+
+    def add(self, df: DataFrame) -> None:
+        df.select(self.schema.names).write.mode("append").parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
