@@ -85,6 +85,23 @@ def set_tag(record: str, tag: str, value, after: str):
     return F.array_join(F.when(has, replaced).otherwise(added), "|")
 
 
+def without_tag(record: str, tag: str):
+    """Column: the piped record without its lines of tag."""
+    return F.array_join(F.filter(F.split(record, r"\|"), lambda x: ~x.startswith(tag)), "|")
+
+
+def rewrite_seed_source(record: str, prefix: str):
+    """Column: the piped record with the source of its seed under another prefix, without the mark of an iteration."""
+    new = lambda x: F.concat(F.lit(f"SE   {prefix}:"), F.replace(F.substr(x, F.locate(":", x) + 1), F.lit("/Iterate"), F.lit("")))
+    return F.array_join(F.transform(F.split(record, r"\|"), lambda x: F.when(x.startswith("SE ") & x.contains(":"), new(x)).otherwise(x)), "|")
+
+
+def is_frozen(record: str):
+    """Column: whether a flag of the piped record forbids iteration."""
+    # fixed forms of the flags
+    return F.exists(F.split(record, r"\|"), lambda x: x.startswith("**   DNI") | x.startswith("**   HT"))
+
+
 def newer_than(source: DataFrame, target: DataFrame, key: str, changed: str) -> DataFrame:
     """Rows of source that target lacks or holds in an older state."""
     known = target.select(key, F.col(changed).alias("_known"))

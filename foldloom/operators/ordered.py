@@ -57,3 +57,20 @@ def next_in_order(df: DataFrame, position: str, columns: list[str], chunk: int =
     out = rows.withColumn("near", F.lead(F.struct(*columns)).over(Window.partitionBy(part).orderBy(position))).join(firsts, part, "left")
     picked = F.coalesce("near", "following")
     return out.select(*[df[c] for c in df.columns], *[picked[c].alias(f"next_{c}") for c in columns])
+
+
+def fill_forward(df: DataFrame, position: str, column: str, chunk: int = 1 << 16) -> DataFrame:
+    """df with the column's nulls replaced by its value at the nearest lower position that has one, if any; in the steps of
+    next_in_order."""
+    part, last = f"{position}__chunk", lambda w: F.last(column, ignorenulls=True).over(w)
+    rows = df.withColumn(part, F.floor(F.col(position) / F.lit(chunk)).cast("bigint"))
+    filled = last(Window.partitionBy(part).orderBy(position).rowsBetween(Window.unboundedPreceding, 0))
+    known = F.when(F.col(column).isNotNull(), F.col(position))
+    carries = rows.groupBy(part).agg(F.max_by(column, known).alias(column), F.max(known).alias("at")).withColumn(column, F.when(F.col("at").isNotNull(), F.col(column)))
+    above = carries.withColumn("above", F.floor(F.col(part) / F.lit(chunk)).cast("bigint"))
+    tops = above.groupBy("above").agg(F.max_by(column, "at").alias(column))  # one row for 2^32 positions
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("above", last(before(Window.orderBy("above"))).alias("far"))
+    above = above.select(part, "above", last(before(Window.partitionBy("above").orderBy(part))).alias("near")).join(tops, "above").select(part, F.coalesce("near", "far").alias("carried"))
+    out = rows.withColumn(column, filled).join(above, part).withColumn(column, F.coalesce(column, "carried"))
+    return out.select(*df.columns)

@@ -373,3 +373,27 @@ def a16_mean_consistency(spark, folder):
 @query("select q, t, hit_id from (select *, row_number() over (partition by q order by hit_id) as k from full_hits) where k = 1", _HITS)
 def s32_first_file_wins(spark, folder):
     return first_per_key(_full(spark, folder).select("q", "t", "hit_id"), ["q"], ["hit_id"])
+
+
+@query("select taxid, p1, p2, score from fx_links where score >= 400")
+def s13_links_by_header(spark, folder):
+    """Columns by their names in the first line of each species' file."""
+    links = fx.links(spark, folder)
+    heads = links.select("taxid").distinct().withColumn("line", F.lit("neighborhood protein2 combined_score fusion protein1"))
+    lines = links.select("taxid", F.concat_ws(" ", F.lit("0"), "p2", "score", F.lit("0"), "p1").alias("line")).unionByName(heads)
+    rows = tx.by_header(lines, "taxid", {"protein1": "bigint", "protein2": "bigint", "combined_score": "bigint"}, needed=("combined_score",)).where("combined_score >= 400")
+    return rows.select("taxid", F.col("protein1").alias("p1"), F.col("protein2").alias("p2"), F.col("combined_score").alias("score"))
+
+
+@query(
+    """select fam, concat(fam, chr(9), name, chr(9), k, chr(9), format('{:.2f}', frequency), chr(9), format('{:.2f}', bound)) as line from (select fam, coalesce(max(fam_id), cast(fam as varchar)) as name, k, round(k / t, 6) as frequency,
+round(greatest(0, (k / t + 1.96 * 1.96 / (2 * t) - 1.96 * sqrt((k / t * (1 - k / t) + 1.96 * 1.96 / (4 * t)) / t)) / (1 + 1.96 * 1.96 / t)), 6) as bound from (select c.fam, c.k, a.t, n.fam_id from (select fam, count(distinct p1) as k from net group by fam) c cross join (select cast(count(distinct p1) as double) as t from net) a left join fx_clan n on n.fam = c.fam) group by fam, k, t)
+where frequency >= 0.3 and k >= 5""",
+    _NET,
+)
+def k06_network_report(spark, folder):
+    """The lines of the compact report: domain, name, networks, frequency, lower bound."""
+    names = fx.clans(spark, folder).groupBy("fam").agg(F.max("fam_id").alias("fam_id"))
+    rows = domain_frequencies(_network(spark, folder), "p1", "fam").join(names, "fam", "left")
+    name = F.coalesce("fam_id", F.col("fam").cast("string"))
+    return rows.select("fam", F.concat_ws("\t", "fam", name, "n_networks", F.format_string("%.2f", "frequency"), F.format_string("%.2f", "bound")).alias("line"))

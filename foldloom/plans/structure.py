@@ -9,7 +9,7 @@ from foldloom.operators import structure as st
 from foldloom.operators.islands import runs
 from foldloom.plans.registry import Plans
 from foldloom.sources import fixtures as fx
-from foldloom.sources.lines import aligned_errors, atoms, secondary_structure
+from foldloom.sources.lines import aligned_errors, atoms, hydrogen_bonds, secondary_structure, table_atoms
 
 query = Plans()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -310,9 +310,11 @@ def p36_domain_score(spark, folder):
     return rows.select("prot", "dom", F.round(score, 5).alias("score"))
 
 
-@query("select prot, dom, round(avg(plddt), 6) as best from (select *, row_number() over (partition by prot order by m desc, dom) as k from (select prot, dom, avg(plddt) as m, avg(plddt) as plddt from mem group by prot, dom)) where k = 1 group by prot, dom", _E)
+@query("select prot, dom, round(avg(plddt), 6) as best from (select *, row_number() over (partition by prot order by m desc, dom) as k from (select *, row_number() over (partition by prot order by dom) as tried from (select prot, dom, avg(plddt) as m, avg(plddt) as plddt from mem group by prot, dom)) where tried <= 20) where k = 1 group by prot, dom", _E)
 def a15_best_model(spark, folder):
+    """The best of the first twenty models."""
     means = _members(spark, folder).groupBy("prot", "dom").agg(F.avg("plddt").alias("m"))
+    means = means.withColumn("tried", F.row_number().over(Window.partitionBy("prot").orderBy("dom"))).where("tried <= 20")
     best = means.groupBy("prot").agg(F.max(F.struct("m", (-F.col("dom")).alias("minus"))).alias("b"))
     return best.select("prot", (-F.col("b.minus")).alias("dom"), F.round("b.m", 6).alias("best"))
 
@@ -368,3 +370,54 @@ def x24_grown_domains(spark, folder):
 @query()
 def x29_kmeans(spark, folder):
     return st.kmeans(fx.residues(spark, folder), _seeds(spark, folder))
+
+
+@query("select r.prot, r.idx, round(r.x, 3) as x, round(r.y, 3) as y, round(r.z, 3) as z, round(r.plddt, 2) as plddt from fx_res r")
+def s21_table_atoms(spark, folder):
+    """Coordinates in the form of mmCIF: columns named in front, other atoms and other positions between."""
+    columns = ("group_PDB", "id", "label_atom_id", "label_alt_id", "label_comp_id", "label_asym_id", "label_seq_id", "Cartn_x", "Cartn_y", "Cartn_z", "B_iso_or_equiv", "auth_seq_id", "auth_asym_id", "pdbx_PDB_model_num")
+    residues = fx.residues(spark, folder)
+    head = residues.select("prot").distinct().select("prot", F.posexplode(F.array(*[F.lit(f"_atom_site.{c}") for c in columns])).alias("place", "line"))
+    form = "ATOM %d {} {} ALA A %d %.3f %.3f %.3f %.2f %d A {}"
+    row = lambda atom, alt, model: F.format_string(form.format(atom, alt, model), "idx", "idx", "x", "y", "z", "plddt", "idx")
+    lines = residues.select("prot", (F.col("idx") + 100).alias("place"), F.explode(F.array(row("CA", ".", 1), row("CB", ".", 1), row("CA", "B", 1), row("CA", ".", 2))).alias("line"))
+    rows = table_atoms(head.unionByName(lines), "prot", "place")
+    return rows.select("prot", F.col("resnum").alias("idx"), "x", "y", "z", "plddt")
+
+
+@query(
+    """select prot, donor, acceptor, energy from (select *, row_number() over (partition by prot, least(donor, acceptor), greatest(donor, acceptor) order by donor, field) as k from (
+select prot, idx as donor, idx - 2 as acceptor, 1 as field, -1.5::double as energy from fx_res union all select prot, idx, idx + cast(idx % 3 as integer), 2, round(-(idx % 5) / 10.0::double, 1) from fx_res where idx % 3 > 0 and idx % 5 > 0)) where k = 1"""
+)
+def s23_bond_pairs(spark, folder):
+    """Both bonds of a line, each two residues once."""
+    line = F.format_string("%5d%5d A A  H                 %4d %6d,%4.1f%6d,%4.1f", "idx", "idx", F.lit(0), F.lit(-2), F.lit(-1.5), (F.col("idx") % 3).cast("int"), -(F.col("idx") % 5) / 10.0)
+    return hydrogen_bonds(secondary_structure(fx.residues(spark, folder).select("prot", line.alias("line"))), "prot")
+
+
+@query(
+    """select prot, start, "end", side, seg_s, seg_e from (select s.prot, s.start, s."end", 'left' as side, s.parent_start as seg_s, s.start - 1 as seg_e from par s union all select s.prot, s.start, s."end", 'right', s."end" + 1, s.parent_end from par s) where seg_s <= seg_e""",
+    f"""{_BR}, par as (select prot, a as start, b as "end", start as parent_start, e2 as parent_end from (select i.prot, i.start as a, i."end" as b, o.start, o."end" as e2, row_number() over (partition by i.prot, i.start, i."end" order by o."end" - o.start, o.start, o."end") as k
+from (select distinct prot, start, "end" from br) i join (select distinct prot, start, "end" from br) o on o.prot = i.prot and o.start <= i.start and i."end" <= o."end" and (o.start < i.start or i."end" < o."end")) where k = 1)""",
+)
+def x15_flanks(spark, folder):
+    """What a bridge leaves of the one around it, on either side."""
+    rows = st.smallest_container(_bridges(spark, folder)).where("parent_start is not null")
+    side = lambda name, s, e: F.struct(F.lit(name).alias("side"), s.alias("seg_s"), e.alias("seg_e"))
+    sides = F.explode(F.array(side("left", F.col("parent_start"), F.col("start") - 1), side("right", F.col("end") + 1, F.col("parent_end"))))
+    return rows.select("prot", "start", "end", sides.alias("f")).select("prot", "start", "end", "f.*").where("seg_s <= seg_e")
+
+
+@query(
+    """select prot, dom, idx, format('ATOM  {:5d}  CA  ALA {}{:4d}    {:8.3f}{:8.3f}{:8.3f}  1.00{:6.2f}           C', idx, chr(cast(65 + dom % 26 as integer)), idx, x, y, z, plddt) as line from mem
+where idx between (select min(idx) from mem m where m.prot = mem.prot and m.dom = mem.dom and m.plddt >= 40) and (select max(idx) from mem m where m.prot = mem.prot and m.dom = mem.dom and m.plddt >= 40)""",
+    _E,
+)
+def x43_chopped_lines(spark, folder):
+    """Coordinate lines of each domain from its first to its last confident residue, under a chain letter of its own."""
+    members = _members(spark, folder)
+    span = members.where("plddt >= 40").groupBy("prot", "dom").agg(F.min("idx").alias("a"), F.max("idx").alias("b"))
+    rows = members.join(span, ["prot", "dom"]).where("idx between a and b")
+    chain = F.char((F.lit(65) + F.col("dom") % 26).cast("bigint"))
+    line = F.format_string("ATOM  %5d  CA  ALA %s%4d    %8.3f%8.3f%8.3f  1.00%6.2f           C", "idx", chain, "idx", "x", "y", "z", "plddt")
+    return rows.select("prot", "dom", "idx", line.alias("line"))

@@ -344,3 +344,33 @@ def k09_run_metadata(spark, folder):
 @query("select o_custkey as root, o_orderkey as okey from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as k from orders) where k = 1")
 def s20_first_member_of_cluster(spark, folder):
     return first_per_key(table(spark, folder, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select(F.col("o_custkey").alias("root"), F.col("o_orderkey").alias("okey"))
+
+
+_EDITED = """edited as (select doc_id, concat(rec, '|SE   TED:P', doc_id, case when doc_id % 2 = 0 then '/Iterate' else '' end, '|ED   P', doc_id, '/1-9;', case when doc_id % 3 = 0 then '|**   DNI' when doc_id % 3 = 1 then '|**   other' else '' end) as rec from fx_desc)"""
+
+
+def _edited(spark, folder):
+    more = "concat(rec, '|SE   TED:P', doc_id, case when doc_id % 2 = 0 then '/Iterate' else '' end, '|ED   P', doc_id, '/1-9;', case when doc_id % 3 = 0 then '|**   DNI' when doc_id % 3 = 1 then '|**   other' else '' end)"
+    return fx.tagged_records(spark, folder).select("doc_id", F.expr(more).alias("rec"))
+
+
+@query("select doc_id, array_to_string(list_transform(string_split(rec, '|'), lambda x: case when starts_with(x, 'SE ') then concat('SE   AF:P', doc_id) else x end), '|') as rec from edited", _EDITED)
+def p23_rewrite_seed_source(spark, folder):
+    return _edited(spark, folder).select("doc_id", cu.rewrite_seed_source("rec", "AF").alias("rec"))
+
+
+@query("select doc_id, array_to_string(list_filter(string_split(rec, '|'), lambda x: not starts_with(x, 'ED')), '|') as rec, doc_id % 3 = 0 as frozen from edited", _EDITED)
+def p23_without_edits(spark, folder):
+    return _edited(spark, folder).select("doc_id", cu.without_tag("rec", "ED").alias("rec"), cu.is_frozen("rec").alias("frozen"))
+
+
+@query("select coalesce(family, '') as family, concat(acc, '.1/', first, '-', last) as full_id, string_agg(aln, '' order by line_id) as aln from fx_align group by coalesce(family, ''), acc, first, last")
+def s16_wrapped_alignment(spark, folder):
+    """Alignment files of a family, in lines of 20 columns: every second row goes on in lines that name it again, the others in
+    bare lines; with comments and ends between them."""
+    rows = fx.alignment(spark, folder).select(F.coalesce("family", F.lit("")).alias("family"), "line_id", F.concat("acc", F.lit(".1/"), "first", F.lit("-"), "last").alias("id"), "aln")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length("aln") - 1) / 20).cast("int")), lambda k: F.substr("aln", k * 20 + 1, F.lit(20)))
+    lines = rows.select("family", "line_id", "id", F.posexplode(F.array_append(blocks, F.lit("# end"))).alias("block", "text"))
+    line = F.when(F.col("text") == "# end", F.col("text")).when((F.col("block") == 0) | (F.col("line_id") % 2 == 0), F.concat_ws("   ", "id", "text")).otherwise(F.concat(F.lit("     "), "text"))
+    lines = lines.select("family", F.struct("line_id", "block").alias("place"), line.alias("line"))
+    return tx.alignment_blocks(lines, "family", "place").select("family", "full_id", "aln")

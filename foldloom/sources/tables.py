@@ -7,3 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def database_table(spark: SparkSession, url: str, name: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, **options: str) -> DataFrame:
+    """A table of a database over JDBC; filters and columns of what follows are handed to it. With a whole-number key and its
+    bounds it is read in parts, each a range of the key."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, fetchsize="10000", **options)
+    if key and bounds:
+        reader = reader.options(partitionColumn=key, lowerBound=str(bounds[0]), upperBound=str(bounds[1]), numPartitions=str(parts))
+    return reader.load()

@@ -147,3 +147,73 @@ def test_consolidated_ranges(spark, seed):
     for x in consolidated(df, "prot", "s", "e").collect():
         got.setdefault(x["prot"], []).append((x["seg_s"], x["seg_e"], x["n"]))
     assert {k: sorted(v) for k, v in got.items()} == {p: brute_consolidated([(s, e) for q, s, e in rows if q == p]) for p in (0, 1)}
+
+
+RES = "prot string, idx int, x double, y double, z double, plddt double"
+
+
+def test_graph_figures_against_brute_force(spark):
+    from foldloom.operators import structure as st
+
+    r = random.Random(11)
+    edges = [("p", i, j, round(r.random() + 0.1, 3)) for i in range(1, 16) for j in range(i + 1, 16) if r.random() < 0.35]
+    w = {frozenset((i, j)): x for _, i, j, x in edges}
+    top, nodes = max(w.values()), range(1, 17)
+    near = {n: {m for m in nodes if frozenset((n, m)) in w} for n in nodes}
+    want = 0.0
+    for n in nodes:
+        k = len(near[n])
+        share = sum((w[frozenset((n, a))] * w[frozenset((n, b))] * w[frozenset((a, b))]) ** (1 / 3) / top for a, b in combinations(sorted(near[n]), 2) if b in near[a])
+        want += 2 * share / (k * (k - 1)) if k > 1 else 0
+    res = spark.createDataFrame([("p", n) for n in nodes], "prot string, idx int")
+    x = st.mean_clustering(spark.createDataFrame(edges, EDGES), res).first()
+    assert abs(x["clustering"] - want / 16) < 1e-9
+    assert x["n_triangles"] == sum(b in near[a] and c in near[a] and c in near[b] for a, b, c in combinations(nodes, 3))
+
+
+def test_largest_dimension(spark):
+    from foldloom.operators import structure as st
+
+    r = random.Random(12)
+    rows = [("p", k, r.gauss(0, 10), r.gauss(0, 3), r.gauss(0, 1), 90.0) for k in range(1, 80)] + [("q", 1, 0.0, 0.0, 0.0, 90.0)]
+    res = spark.createDataFrame(rows, RES)
+    members = res.selectExpr("prot", "idx", "idx % 2 as dom")
+    got = {(x["prot"], x["dom"]): x["max_dimension"] for x in st.largest_dimension(res, members).collect()}
+    for key in got:
+        own = [x for x in rows if (x[0], x[1] % 2) == key]
+        assert abs(got[key] - max(sum((a[k] - b[k]) ** 2 for k in (2, 3, 4)) ** 0.5 for a in own for b in own)) < 1e-9
+    assert set(got) == {("p", 0), ("p", 1), ("q", 1)}
+
+
+def test_small_domains_join_their_neighbours(spark):
+    from foldloom.operators import structure as st
+
+    members = spark.createDataFrame([("p", k, 1 if k <= 10 else 2 if k <= 12 else 3 if k <= 30 else 4) for k in range(1, 32)], "prot string, idx int, dom int")
+    edges = spark.createDataFrame([("p", 10, 11, 1.0), ("p", 12, 13, 1.0), ("p", 12, 14, 1.0)], EDGES)
+    got = {x["idx"]: x["dom"] for x in st.with_small_merged(edges, members, 5).collect()}
+    assert {k: d for k, d in got.items() if k in (5, 11, 12, 20, 31)} == {5: 1, 11: 3, 12: 3, 20: 3, 31: 4}  # 4 has no contact
+
+
+def test_trimmed_seeds_and_spacing(spark):
+    from foldloom.operators import structure as st
+    from foldloom.operators.islands import spaced
+
+    res = spark.createDataFrame([("p", k, 4.0 * k, 0.0, 0.0, 90.0 if 5 <= k <= 20 else 30.0) for k in range(1, 31)], RES)
+    domains = spark.createDataFrame([("p", 1, 1, 15), ("p", 2, 16, 30), ("p", 3, 22, 30)], "prot string, dom int, s int, e int")
+    assert {(x["dom"], x["s"], x["e"]) for x in st.trimmed_to_structured(res, domains).collect()} == {(1, 5, 15), (2, 16, 20)}
+    assert {x["idx"] for x in st.seeds_by(res, "grid", spacing=20.0).collect()} <= set(range(5, 21))
+    chosen = sorted(x["idx"] for x in st.seeds_by(res, "random", n=3).collect())
+    assert 2 <= len(chosen) <= 3 and all(b - a >= 4 for a, b in zip(chosen, chosen[1:]))
+    assert chosen == sorted(x["idx"] for x in st.seeds_by(res, "random", n=3).collect())
+    with pytest.raises(KeyError):
+        st.seeds_by(res, "unknown")
+    rows = spark.createDataFrame([("p", k) for k in (3, 3, 5, 12, 13, 30)] + [("q", 1)], "prot string, idx int")
+    assert sorted(map(tuple, spaced(rows, ["prot"], "idx", 9).collect())) == [("p", 3), ("p", 12), ("p", 30), ("q", 1)]
+
+
+def test_identity_ladder(spark):
+    from foldloom.operators.sequences import identity_ladder
+
+    rows = [(1, "f", "ACDEFGHIKLMNPQRSTVWY"), (2, "f", "ACDEFGHIKLMNPQRSTVWA"), (3, "g", "AAAA"), (4, "h", "CCCCCCCCCC"), (5, "h", "DDDDDDDDDD"), (6, "i", "EEEE"), (7, "i", "EEEE")]
+    got = {x["id"]: (x["representative"], x["identity"]) for x in identity_ladder(spark.createDataFrame(rows, "id int, family string, aln string"), "family", "id", "aln").collect()}
+    assert got == {1: (1, 1.0), 2: (2, 1.0), 3: (3, 0.8), 4: (4, 0.8), 5: (5, 0.8), 6: (6, 1.0), 7: (6, 1.0)}
