@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.operators.intervals import overlap_join
@@ -29,13 +29,15 @@ def matched(pairs: DataFrame) -> DataFrame:
     """
     left = cut(pairs.select("prot", "t", "p", "iou"), "pairs")
     pile = Pile(left, "found")
+    rank = F.struct("iou", (-F.col("t")).alias("mt"), (-F.col("p")).alias("mp"))
+    by_t, by_p = Window.partitionBy("prot", "t"), Window.partitionBy("prot", "p")
     while not left.isEmpty():
-        rank = F.struct("iou", (-F.col("t")).alias("mt"), (-F.col("p")).alias("mp"))
-        best = lambda side, name: left.groupBy("prot", side).agg(F.max(rank).alias(name))
-        both = left.join(best("t", "bt"), ["prot", "t"]).join(best("p", "bp"), ["prot", "p"]).where((F.col("bt") == rank) & (F.col("bp") == rank))
-        both = cut(both.select("prot", "t", "p", "iou"), "matched")
-        pile.add(both)
-        left = cut(left.join(both.select("prot", "t"), ["prot", "t"], "left_anti").join(both.select("prot", "p"), ["prot", "p"], "left_anti").select("prot", "t", "p", "iou"), "pairs")
+        rows = left.withColumn("rank", rank).withColumn("bt", F.max("rank").over(by_t)).withColumn("bp", F.max("rank").over(by_p))
+        rows = rows.withColumn("taken", (F.col("bt") == F.col("rank")) & (F.col("bp") == F.col("rank")))
+        rows = rows.withColumn("used_p", F.max("taken").over(by_p)).withColumn("used_t", F.max("taken").over(by_t))
+        step = cut(rows.where("taken or not (used_p or used_t)").select("prot", "t", "p", "iou", "taken"), "pairs")
+        pile.add(step.where("taken"))
+        left = step.where("not taken").drop("taken")
     return pile.rows()
 
 

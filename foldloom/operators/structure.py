@@ -401,3 +401,24 @@ def with_small_merged(edges: DataFrame, members: DataFrame, min_size: int) -> Da
         if moves.isEmpty():
             return members
         members = cut(members.join(moves, ["prot", "dom"], "left").select("prot", "idx", F.coalesce("into", "dom").alias("dom")), "members")
+
+
+def predicted_in_stages(
+    residues: DataFrame, max_distance: float = 10.0, sigma: float = 10.0, cutoff: float = 70, min_size: int = 30, min_ratio: float = 0.5, max_rg: float = 2.0
+) -> DataFrame:
+    """prot, idx, dom: contacts, communities of them, disordered and isolated residues taken out, structured clusters among these
+    rescued, small domains merged into neighbours, entangled and loose ones filtered, and the rest grown into the confident
+    stretches next to them."""
+    edges = cut(weighted(contacts(residues, max_distance, 3), residues, sigma), "contacts")
+    clusters = cut(communities(edges), "clusters")
+    loose = disorder(residues, cutoff).where("low_window or very_low or tail").select("prot", "idx").union(isolated(residues, edges)).distinct()
+    loose = cut(loose, "loose")
+    back = rescued(residues, edges, loose, clusters, min_size).select("prot", "dom", F.lit(True).alias("back"))
+    marked = clusters.join(loose.withColumn("loose", F.lit(True)), ["prot", "idx"], "left").join(back, ["prot", "dom"], "left")
+    members = cut(marked.where("loose is null or back").select("prot", "idx", "dom"), "members")
+    members = with_small_merged(edges, members, min_size)
+    figures = contact_figures(edges, members).join(compactness(residues, members).drop("size"), ["prot", "dom"])
+    compact = F.col("rg") <= max_rg * 2.5 * F.pow("size", F.lit(1.0 / 3))
+    good = figures.where((F.col("size") >= min_size) & (F.col("ratio") >= min_ratio) & compact).select("prot", "dom")
+    kept = cut(members.join(good, ["prot", "dom"], "left_semi").select("prot", "idx", "dom"), "members")
+    return extended(residues, edges, kept, cutoff)

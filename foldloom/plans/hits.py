@@ -33,8 +33,16 @@ def _full(spark, folder):
     return _hits(spark, folder).where("q is not null and t is not null")
 
 
+ODD_LINES = ("", "   ", "# a note", "query\ttarget", "header of a report", "a\tb\tc\td")  # what stands between the rows of such files
+
+
+def _with_odd(lines):
+    """lines with odd ones behind each, which no reader may take for a row."""
+    return lines.withColumn("line", F.explode(F.array("line", *map(F.lit, ODD_LINES))))
+
+
 def _lines(spark, folder, line):
-    return _full(spark, folder).select("hit_id", F.expr(line).alias("line"))
+    return _with_odd(_full(spark, folder).select("hit_id", F.expr(line).alias("line")))
 
 
 @query(
@@ -62,7 +70,7 @@ cast(concat('2e-', hit_id % 90) as double) as evalue, cast(hit_id % 700 as doubl
 def s10_alignment_hit_lines(spark, folder):
     line = "concat_ws('\\t', q, t, '0.3', qhi - qlo + 1, ql, tl, qlo, qhi, tlo, thi, concat('2e-', hit_id % 90), hit_id % 700)"
     rows = _full(spark, folder).where("qlo is not null and qhi is not null and ql is not null and tl is not null and tlo is not null and thi is not null")
-    return tx.alignment_hits(rows.select("hit_id", F.expr(line).alias("line"))).drop("line")
+    return tx.alignment_hits(_with_odd(rows.select("hit_id", F.expr(line).alias("line")))).drop("line")
 
 
 @query("select q, t, count(*) as n, min(evalue) as best from full_hits f where evalue < 1e-3 and q <> t and (exists (select 1 from clan_membership c where c.pfama_acc = f.q and c.clan_acc is not null) or exists (select 1 from clan_membership c where c.pfama_acc = f.t and c.clan_acc is not null)) group by q, t", _HITS)
@@ -256,7 +264,7 @@ def u04_families_without_entry(spark, folder):
 @query("select taxid, p1, p2, score from fx_links where score >= 400")
 def s13_scored_links(spark, folder):
     lines = fx.links(spark, folder).select("taxid", F.concat_ws(" ", "p1", "p2", "score").alias("line"))
-    rows = tx.scored_links(lines).where("score >= 400")
+    rows = tx.scored_links(_with_odd(lines)).where("score >= 400")
     return rows.select("taxid", F.col("protein1").cast("bigint").alias("p1"), F.col("protein2").cast("bigint").alias("p2"), "score")
 
 
@@ -269,7 +277,7 @@ def s14_aliases(spark, folder):
 @query("select s_suppkey, cast(9000 + s_nationkey as bigint) as taxid, concat('P', s_suppkey) as protein from supplier where s_acctbal >= 0")
 def s15_cross_references(spark, folder):
     lines = table(spark, folder, "supplier").select("s_suppkey", F.expr("concat('DR   ', case when s_acctbal < 0 then 'PDB; ' else 'STRING; ' end, 9000 + s_nationkey, '.P', s_suppkey, '; -.')").alias("line"))
-    return tx.cross_reference(lines).select("s_suppkey", "taxid", "protein")
+    return tx.cross_reference(_with_odd(lines)).select("s_suppkey", "taxid", "protein")
 
 
 _NET = """net as (select l.taxid, l.p1, l.p2, r.fam from (select distinct taxid, p1, p2 from fx_links where score >= 400) l join (select distinct acc, fam from fx_family) r on r.acc = l.p2)"""

@@ -11,7 +11,7 @@ from foldloom.operators import voronoi as vo
 from foldloom.operators.sequences import identity_ladder
 from foldloom.plans.partitions import w11_split_candidates
 from foldloom.plans.registry import Plans, greedy
-from foldloom.plans.structure import _E, _edges, _members
+from foldloom.plans.structure import _E, REACH, SIGMA, _edges, _members
 from foldloom.sources import fixtures as fx
 from foldloom.sources.lines import aligned_errors
 
@@ -223,3 +223,9 @@ def x31_postprocessed_domains(spark, folder):
 def x40_identity_ladder(spark, folder):
     """Representatives at 80 % identity; families left with one go up in steps of 5 % until they have more."""
     return identity_ladder(fx.alignment(spark, folder), "family", "line_id", "aln")
+
+
+@query()
+def x16_domains_in_stages(spark, folder):
+    """X16: all stages, from contacts to extension."""
+    return st.predicted_in_stages(fx.residues(spark, folder), REACH, SIGMA, cutoff=40, min_size=3, min_ratio=0.01, max_rg=4.0)

@@ -217,3 +217,19 @@ def test_identity_ladder(spark):
     rows = [(1, "f", "ACDEFGHIKLMNPQRSTVWY"), (2, "f", "ACDEFGHIKLMNPQRSTVWA"), (3, "g", "AAAA"), (4, "h", "CCCCCCCCCC"), (5, "h", "DDDDDDDDDD"), (6, "i", "EEEE"), (7, "i", "EEEE")]
     got = {x["id"]: (x["representative"], x["identity"]) for x in identity_ladder(spark.createDataFrame(rows, "id int, family string, aln string"), "family", "id", "aln").collect()}
     assert got == {1: (1, 1.0), 2: (2, 1.0), 3: (3, 0.8), 4: (4, 0.8), 5: (5, 0.8), 6: (6, 1.0), 7: (6, 1.0)}
+
+
+def test_stages_find_planted_domains(spark):
+    """Two compact domains joined by a disordered linker, with a disordered tail."""
+    from foldloom.operators import structure as st
+
+    r = random.Random(7)
+    rows = []
+    for k in range(1, 131):
+        d = 1 if k <= 45 else 2 if 61 <= k <= 110 else 0
+        at = [r.uniform(-9, 9) + (0, 0, 60)[d] for _ in range(3)] if d else [200.0 + 40 * k, 5.0 * k, 0.0]
+        rows.append(("p", k, *at, 90.0 if d else 30.0))
+    found = {x["idx"]: x["dom"] for x in st.predicted_in_stages(spark.createDataFrame(rows, RES), min_ratio=1.0, max_rg=3.0).collect()}
+    first, second = {found.get(k) for k in range(1, 46)}, {found.get(k) for k in range(61, 111)}
+    assert not set(found) & {*range(46, 61), *range(111, 131)}
+    assert first.isdisjoint(second - {None}) and len(found) >= 80
