@@ -334,7 +334,12 @@ def s33_representatives(spark, folder):
     return table(spark, folder, "orders").join(names, "o_custkey", "left").select("o_orderkey", F.coalesce("s_name", F.lit("none")).alias("representative"))
 
 
-@query()
+@query(
+    """select prot, seg_s, seg_e from core union select s.prot, s.seg_s, s.seg_e from seg s where s.size >= 5 and exists (select 1 from core c where c.prot = s.prot and greatest(0, c.seg_s - s.seg_e, s.seg_s - c.seg_e) <= 50)""",
+    """seg as (select prot, min(idx) as seg_s, max(idx) as seg_e, max(idx) - min(idx) + 1 as size from (select *, sum(f) over (partition by prot order by idx) as run from (select prot, idx, case when idx - lag(idx) over (partition by prot order by idx) <= 1 then 0 else 1 end as f from fx_res where plddt >= 60)) group by prot, run),
+core as (select prot, seg_s, seg_e from (select *, row_number() over (partition by prot order by size desc, seg_s desc) as k from seg) where k = 1
+  union select s.prot, s.seg_s, s.seg_e from seg s join core c on c.prot = s.prot and greatest(0, c.seg_s - s.seg_e, s.seg_s - c.seg_e) <= case when s.size < 10 then 5 else 3 end)""",
+)
 def x07_core_segments(spark, folder):
     segs = runs(fx.residues(spark, folder).where("plddt >= 60"), ["prot"], "idx", 1)
     return core_segments(segs, ["prot"], 3)

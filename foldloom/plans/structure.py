@@ -361,13 +361,27 @@ def x03_communities(spark, folder):
     return st.communities(_edges(spark, folder))
 
 
-@query()
+@query(
+    "select prot, idx, dom from grow where round = (select max(round) from grow)",
+    f"""{_E}, both_ways as (select prot, i as u, j as idx, w from e union all select prot, j, i, w from e),
+grow as (select 0 as round, true as more, prot, idx, idx as dom from (select *, max(plddt) over (partition by prot order by idx rows between 10 preceding and 10 following) as top from fx_res) where plddt >= top - 0.1
+  union all select * from (with own as (select * from grow), joins as (select prot, u as idx, dom from (select prot, u, dom, row_number() over (partition by prot, u order by pull desc, dom) as k from (
+      select b.prot, b.u, m.dom, round(sum(b.w), 9) as pull from both_ways b join own m on m.prot = b.prot and m.idx = b.idx where not exists (select 1 from own o where o.prot = b.prot and o.idx = b.u) group by all having round(sum(b.w), 9) >= 0.05)) where k = 1)
+    select round + 1, (select count(*) from joins) > 0, prot, idx, dom from own where more union all select (select max(round) from own) + 1, true, prot, idx, dom from joins))""",
+)
 def x24_grown_domains(spark, folder):
     seeds = w10_local_maxima(spark, folder).withColumn("dom", F.col("idx"))
     return st.grown(_edges(spark, folder), seeds, 0.05)
 
 
-@query()
+@query(
+    "select prot, idx, dom from means where round = (select max(round) from means)",
+    f"""{_E}, start as (select prot, dom, round(avg(x), 6) as sx, round(avg(y), 6) as sy, round(avg(z), 6) as sz from mem group by prot, dom),
+means as (select 0 as round, prot, idx, dom from (select r.prot, r.idx, s.dom, row_number() over (partition by r.prot, r.idx order by (r.x - s.sx) * (r.x - s.sx) + (r.y - s.sy) * (r.y - s.sy) + (r.z - s.sz) * (r.z - s.sz), s.dom) as k from fx_res r join start s on s.prot = r.prot) where k = 1
+  union all select * from (with own as (select * from means), centre as (select r.prot, o.dom, round(avg(r.x), 6) as sx, round(avg(r.y), 6) as sy, round(avg(r.z), 6) as sz from fx_res r join own o using (prot, idx) group by r.prot, o.dom)
+    select (select max(round) from own) + 1, prot, idx, dom from (select r.prot, r.idx, s.dom, row_number() over (partition by r.prot, r.idx order by (r.x - s.sx) * (r.x - s.sx) + (r.y - s.sy) * (r.y - s.sy) + (r.z - s.sz) * (r.z - s.sz), s.dom) as k
+      from fx_res r join centre s on s.prot = r.prot) where k = 1 and (select max(round) from own) < 60))""",
+)
 def x29_kmeans(spark, folder):
     return st.kmeans(fx.residues(spark, folder), _seeds(spark, folder))
 
