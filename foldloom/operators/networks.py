@@ -48,6 +48,26 @@ def neighbourhoods(edges: DataFrame, a: str, b: str, starts: DataFrame, node: st
     return seen
 
 
+def pairs_within(df: DataFrame, group: str, item: str, block: int = 512) -> DataFrame:
+    """a < b: each pair of different items that some group holds together, once.
+
+    Groups with the same items are paired once. A group of more than `block` items is cut in blocks of about so many, and each
+    two blocks are paired under a key of their own, so no task holds the pairs of a large group.
+    """
+    rows = df.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct()
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    placed = rows.join(sizes, group).withColumn("_block", F.pmod(F.xxhash64(item), F.col("_blocks")))
+    parts = cut(placed.groupBy(group, "_blocks", "_block").agg(F.sort_array(F.collect_list(item)).alias("_own")), "blocks")
+    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    own = parts.select("_own").distinct()
+    within = F.flatten(F.transform("_own", lambda x, i: F.transform(F.slice("_own", i + 2, F.size("_own")), lambda y: pair(x, y))))
+    left = parts.where("_block < _blocks - 1").select(group, F.col("_block").alias("_i"), F.explode(F.expr("sequence(_block + 1, _blocks - 1)")).alias("_j"), "_own")
+    right = parts.where("_block > 0").select(group, F.explode(F.expr("sequence(0, _block - 1)")).alias("_i"), F.col("_block").alias("_j"), F.col("_own").alias("_other"))
+    between = left.join(right, [group, "_i", "_j"]).select("_own", "_other").distinct()
+    across = F.flatten(F.transform("_own", lambda x: F.transform("_other", lambda y: pair(x, y))))
+    return own.select(F.inline(within)).unionAll(between.select(F.inline(across))).distinct()
+
+
 def domain_frequencies(memberships: DataFrame, network: str, domain: str, min_frequency: float = 0.3, min_networks: int = 5, min_bound: float = 0.0) -> DataFrame:
     """Of each domain in how many networks it occurs, the share of all networks, and its Wilson lower bound."""
     total = memberships.agg(F.countDistinct(network).alias("n_all"))

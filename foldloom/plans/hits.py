@@ -9,7 +9,7 @@ from foldloom.functions import intervals as iv
 from foldloom.functions.keys import accession
 from foldloom.functions.scores import evalue_class, score_class, structure_probability, wilson_lower_bound
 from foldloom.operators.intervals import overlap_join
-from foldloom.operators.networks import best_edges, domain_frequencies, family_statistics, first_per_key, methods_side_by_side, neighbourhoods
+from foldloom.operators.networks import best_edges, domain_frequencies, family_statistics, first_per_key, methods_side_by_side, neighbourhoods, pairs_within
 from foldloom.plans.registry import Plans
 from foldloom.sources import fixtures as fx
 from foldloom.sources import lines as tx
@@ -234,8 +234,7 @@ from cand c left join fx_clan ka on ka.fam = c.a left join fx_clan kb on kb.fam
     _NESTED,
 )
 def j17_pair_truth(spark, folder):
-    regions = fx.family_regions(spark, folder).select("acc", "fam").distinct()
-    pairs = regions.withColumnRenamed("fam", "a").join(regions.withColumnRenamed("fam", "b"), "acc").where("a < b").select("a", "b").distinct()
+    pairs = pairs_within(fx.family_regions(spark, folder), "acc", "fam")
     clans = fx.clans(spark, folder)
     nested = _nested(spark, folder).select(F.least("outer_fam", "inner_fam").alias("a"), F.greatest("outer_fam", "inner_fam").alias("b"), F.lit(True).alias("nests")).distinct()
     rows = pairs.join(clans.select(F.col("fam").alias("a"), F.col("clan_acc").alias("ka")), "a", "left").join(clans.select(F.col("fam").alias("b"), F.col("clan_acc").alias("kb")), "b", "left")

@@ -233,3 +233,53 @@ def test_stages_find_planted_domains(spark):
     first, second = {found.get(k) for k in range(1, 46)}, {found.get(k) for k in range(61, 111)}
     assert not set(found) & {*range(46, 61), *range(111, 131)}
     assert first.isdisjoint(second - {None}) and len(found) >= 80
+
+
+def test_extension_takes_confident_stretches(spark):
+    """Against a direct reading of the rule: long enough confident free stretches go to the domain that pulls most, if near."""
+    from foldloom.operators import structure as st
+
+    r = random.Random(21)
+    plddt = {k: 90.0 if r.random() < 0.8 or 20 <= k <= 45 else 40.0 for k in range(1, 91)}
+    res = spark.createDataFrame([("p", k, 0.0, 0.0, 0.0, v) for k, v in plddt.items()], RES)
+    edges = [("p", i, j, round(r.random(), 3)) for i in plddt for j in range(i + 1, 91) if r.random() < 0.15]
+    start = {k: 1 for k in range(1, 15)} | {k: 2 for k in range(60, 71)}
+    members, w = dict(start), {}
+    for _, i, j, x in edges:
+        w.setdefault(i, {})[j] = w.setdefault(j, {})[i] = x
+    for _ in range(10):
+        free = [k for k in sorted(plddt) if plddt[k] >= 70 and k not in members]
+        runs, joins = [], {}
+        for k in free:
+            runs[-1].append(k) if runs and k - runs[-1][-1] == 1 else runs.append([k])
+        for run in (x for x in runs if len(x) >= 4):
+            pull, near = {}, set()
+            for u in run:
+                for v, x in w.get(u, {}).items():
+                    if v in members:
+                        pull[members[v]] = pull.get(members[v], 0) + x
+                        near |= {members[v]} if run[0] - 12 <= v <= run[-1] + 12 else set()
+            fits = [(-round(p, 9), d) for d, p in pull.items() if d in near]
+            if fits:
+                joins |= dict.fromkeys(run, min(fits)[1])
+        if not joins:
+            break
+        members |= joins
+    df = spark.createDataFrame([("p", k, d) for k, d in start.items()], "prot string, idx int, dom int")
+    got = {x["idx"]: x["dom"] for x in st.extended(res, spark.createDataFrame(edges, EDGES), df, least=4, reach=12).collect()}
+    assert got == members and len(got) > len(start)
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_pairs_within_groups(spark, block):
+    from foldloom.operators.networks import pairs_within
+
+    r = random.Random(3)
+    rows = [(r.choice(["hot", "hot", "a", "b", "c", None]), r.choice([*range(12), None])) for _ in range(120)]
+    got = sorted((x["a"], x["b"]) for x in pairs_within(spark.createDataFrame(rows, "g string, f int"), "g", "f", block).collect())
+    groups = {}
+    for g, f in rows:
+        if g and f is not None:
+            groups.setdefault(g, set()).add(f)
+    assert got == sorted({p for fs in groups.values() for p in combinations(sorted(fs), 2)})
+    assert pairs_within(spark.createDataFrame([], "g string, f int"), "g", "f", block).count() == 0
