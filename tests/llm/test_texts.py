@@ -105,6 +105,13 @@ def test_find(text, want):
     assert [(k, text[a:b]) for a, b, k in Finder(GAZETTEER).find(text)] == want
 
 
+def test_find_in_a_long_line():
+    part = "Hana Kastani <h@x.test>, 020 7946 0988, S. Unknown, 8 Elm Road; "
+    one = Finder(GAZETTEER).find(part)
+    want = [(a + k * len(part), b + k * len(part), kind) for k in range(20_000) for a, b, kind in one]
+    assert len(one) == 4 and Finder(GAZETTEER).find(part * 20_000) == want
+
+
 def test_mask(spark):
     long = "word " * 100_000
     rows = [(1, "Signed-off-by: Ida Berg <i@x.test>\nIda Berg rang 020 7946 0988", 0), (2, "Acked-by: Ida Holm <j@x.test>\n020 7946 0988 " + long, 0), (3, None, 0), (4, "", 0), (4, "", 0)]
