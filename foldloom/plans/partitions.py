@@ -16,7 +16,7 @@ from foldloom.operators.sequences import non_redundant, sequence_clusters, super
 from foldloom.plans.mapping import _midpoint_pairs
 from foldloom.plans.registry import Plans, greedy
 from foldloom.plans.structure import _BR, _E, REACH, SIGMA, _bridges, _edges, _figures, _members
-from foldloom.scratch import cut
+from foldloom.scratch import Pile, cut
 from foldloom.sources import fixtures as fx
 from foldloom.sources.lines import by_delimiter, by_pattern
 from foldloom.sources.tables import table
@@ -84,13 +84,12 @@ def x15_nesting_levels(spark, folder):
     parents = cut(st.smallest_container(_bridges(spark, folder)), "parents")
     above = parents.where("parent_start is not null").select("prot", F.col("start").alias("ts"), F.col("end").alias("te"), F.col("parent_start").alias("ns"), F.col("parent_end").alias("ne"))
     at = parents.select("prot", "start", "end", F.col("start").alias("ts"), F.col("end").alias("te"))
-    levels, level = at.select("prot", "start", "end", F.lit(0).alias("level")), 0
-    while True:
+    pile, level = Pile(at.select("prot", "start", "end", F.lit(0).alias("level")), "levels"), 0
+    while not at.isEmpty():
+        pile.add(at.select("prot", "start", "end", F.lit(level).alias("level")))
         level += 1
         at = cut(at.join(above, ["prot", "ts", "te"]).select("prot", "start", "end", F.col("ns").alias("ts"), F.col("ne").alias("te")), "levels")
-        if at.isEmpty():
-            return levels.groupBy("prot", "start", "end").agg(F.max("level").alias("level"))
-        levels = levels.unionByName(at.select("prot", "start", "end", F.lit(level).alias("level")))
+    return pile.rows().groupBy("prot", "start", "end").agg(F.max("level").alias("level"))
 
 
 @query(
