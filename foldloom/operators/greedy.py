@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.scratch import Pile, cut
@@ -56,3 +60,33 @@ def first_for_both_keys(pairs: DataFrame, pair: str, key_a: str, key_b: str, ran
         left = cut(rest.select(pair, key_a, key_b, "at"), "left")
         pile.add(now)
     return pile.rows()
+
+
+def used_once(pairs: DataFrame, groups: list[str], a: str, b: str, columns: list[str]) -> DataFrame:
+    """columns of the rows that a pass in order of (a, b) over each group keeps if each number may be used once in it, as a or b.
+
+    a and b are whole numbers, never null. The window puts a group in one task, in order, and shuffles only what isn't
+    partitioned by some of groups already; the pass holds the numbers used in one group.
+    """
+    at = Window.partitionBy(*groups).orderBy(a, b)
+    rows = pairs.select(*columns, F.col(a).cast("bigint").alias("_a"), F.col(b).cast("bigint").alias("_b"), F.row_number().over(at).alias("_nth"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used: set[int] = set()  # in the group that the last batch ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, nth = (batch.column(c).to_numpy() for c in ("_a", "_b", "_nth"))
+            keep = nth == 1
+            later = np.flatnonzero(~keep)
+            for k, p, q, n in zip(later.tolist(), x[later].tolist(), y[later].tolist(), nth[later].tolist(), strict=True):
+                if n == 2 and k:
+                    used = {int(x[k - 1]), int(y[k - 1])}
+                if p not in used and q not in used:
+                    keep[k] = True
+                    used |= {p, q}
+            if keep[-1] and nth[-1] == 1:
+                used = {int(x[-1]), int(y[-1])}
+            yield batch.select(columns).filter(pa.array(keep))
+
+    return rows.mapInArrow(run, pairs.select(*columns).schema)

@@ -9,11 +9,10 @@ from foldloom.functions import intervals as iv
 from foldloom.operators import evaluation as ev
 from foldloom.operators import partition as pt
 from foldloom.operators import structure as st
-from foldloom.operators.greedy import first_for_both_keys, greedy_picks
+from foldloom.operators.greedy import greedy_picks, used_once
 from foldloom.operators.intervals import overlap_join
 from foldloom.operators.islands import core_segments, merged, runs, spaced, without_intrusions
 from foldloom.operators.sequences import non_redundant, sequence_clusters, superposed
-from foldloom.plans.mapping import _midpoint_pairs
 from foldloom.plans.registry import Plans, greedy
 from foldloom.plans.structure import _BR, _E, REACH, SIGMA, _bridges, _edges, _figures, _members
 from foldloom.scratch import Pile, cut
@@ -280,14 +279,28 @@ from ({greedy("once", ["acc"], "{'ka': ka, 'kb': kb, 'fa': fam_a, 'fb': fam_b, '
   and ((a.s + a.e > 2 * b.s and a.s + a.e < 2 * b.e) or (b.s + b.e > 2 * a.s and b.s + b.e < 2 * a.e)) where a.fam <> b.fam group by all)""",
 )
 def a05_family_pairs_once(spark, folder):
-    """A05 with each region counted once for each partner family, in order of the regions."""
-    hit = lambda side: F.struct(F.col(f"{side}o"), F.col(f"{side}l"), F.col(f"fam_{side}"), F.col(f"{side}_s"), F.col(f"{side}_e"))
-    key = lambda side, other: F.concat_ws("/", "acc", f"{side}o", f"{side}l", f"fam_{side}", f"{side}_s", f"{side}_e", f"fam_{other}")
-    pairs = _midpoint_pairs(spark, folder).where("fam_a <> fam_b").groupBy(F.struct(hit("a").alias("a"), hit("b").alias("b")).alias("pair"), "acc", "fam_a", "fam_b", key("a", "b").alias("ka"), key("b", "a").alias("kb"))
-    pairs = pairs.agg(F.min(F.exp(-F.col("ea")) * F.exp(-F.col("eb"))).alias("score")).withColumn("pair", F.struct("acc", "pair"))
-    kept = first_for_both_keys(pairs.withColumn("rank", F.lit(0)), "pair", "ka", "kb", "rank").select("ka", "kb")
-    rows = pairs.join(kept, ["ka", "kb"]).groupBy(F.least("fam_a", "fam_b").alias("fam_1"), F.greatest("fam_a", "fam_b").alias("fam_2"))
-    return rows.agg(F.count("*").alias("n_common"), F.round(F.sum("score"), 4).alias("sum_score"))
+    """A05 with each region counted once for each partner family, in order of the regions.
+
+    Two pairs can only use the same key if they join the same two families on the same protein. So regions are shuffled once, by
+    protein; k is the place of a region in the order of its protein, and the pass runs over pairs of places.
+    """
+    score = F.exp(-F.col("evalue")).alias("w")
+    small = " and ".join(f"{c} between 0 and 65535" for c in ("s", "e", "ln"))  # then the three are shuffled as one number
+    near, far = F.expr(f"case when {small} then shiftleft(s, 32) | shiftleft(e, 16) | ln end"), F.expr(f"case when not coalesce({small}, false) then struct(s, e, ln) end")
+    rows = fx.hits(spark, folder).where("acc is not null and fam is not null").select("acc", "okey", "fam", near.alias("near"), far.alias("far"), score).repartition("acc")
+    part = lambda c, shift: F.coalesce(f"far.{c}", F.shiftright("near", shift).bitwiseAND(65535)).alias(c)
+    rows = rows.select("acc", "okey", "fam", part("s", 32), part("e", 16), part("ln", 0), "w")
+    region = [F.col(c).asc_nulls_last() for c in ("okey", "ln", "fam", "s", "e")]
+    at = Window.partitionBy("acc").orderBy(*region, F.col("w").asc_nulls_last())  # of equal regions the first has the lowest score
+    same = F.struct("okey", "ln", "fam", "s", "e")
+    rows = rows.withColumns({"k": F.row_number().over(at), "again": same.eqNullSafe(F.lag(same).over(at))}).where("not again")
+    a, b = (rows.select(F.col("acc").alias(f"acc_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("fam", "s", "e", "w", "k")]) for x in "ab")
+    met = (F.col("acc_a") == F.col("acc_b")) & (F.col("s_a") <= F.col("e_b")) & (F.col("s_b") <= F.col("e_a")) & (F.col("k_a") < F.col("k_b")) & (F.col("fam_a") != F.col("fam_b"))
+    pairs = a.join(b, met & iv.midpoint_inside("s_a", "e_a", "s_b", "e_b")).select(
+        "acc_a", F.least("fam_a", "fam_b").alias("fam_1"), F.greatest("fam_a", "fam_b").alias("fam_2"), "k_a", "k_b", (F.col("w_a") * F.col("w_b")).alias("score")
+    )
+    kept = used_once(pairs, ["acc_a", "fam_1", "fam_2"], "k_a", "k_b", ["fam_1", "fam_2", "score"]).groupBy("fam_1", "fam_2")
+    return kept.agg(F.count("*").alias("n_common"), F.round(F.sum("score"), 4).alias("sum_score"))
 
 
 @query(
