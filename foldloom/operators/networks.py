@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +42,120 @@ def neighbourhood(edges: DataFrame, a: str, b: str, start: DataFrame, node: str,
     return seen
 
 
+BLOCK_LINKS = 1 << 20  # links of a block of nodes, the most that two of are in a task at once
+CHUNK_PATHS = 1 << 21  # paths of two links that are sorted at once
+
+
 def neighbourhoods(edges: DataFrame, a: str, b: str, starts: DataFrame, node: str, hops: int) -> DataFrame:
-    """start, node and hop for each node within `hops` steps of each of starts, as neighbourhood gives them for one set."""
-    both = cut(edges.select(F.col(a).alias("from"), F.col(b).alias("to")).unionAll(edges.select(F.col(b).alias("from"), F.col(a).alias("to"))).distinct(), "links")
-    seen = starts.select(F.col(node).alias("start"), F.col(node).alias("node")).where("start is not null").distinct().withColumn("hop", F.lit(0))
-    for hop in range(1, hops + 1):
-        reached = seen.where(F.col("hop") == hop - 1).join(both, F.col("node") == F.col("from")).select("start", F.col("to").alias("node")).distinct()
-        fresh = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(hop))
-        seen = cut(seen.unionByName(fresh), "hops")
+    """start, node and hop for each node within `hops` steps of each of starts, as neighbourhood gives them for one set.
+
+    Links are shuffled once, to a list of neighbours for each node. From the second hop on, nodes are cut in blocks of about
+    BLOCK_LINKS links; each block of starts is met with each block of nodes, and what the one reaches of the other is made in
+    one task. So the pairs of start and node, many more than the links, are neither shuffled nor written before the result
+    is; only from the third hop on they are. A node with many links lies in one block.
+    """
+    x, y = F.col(a), F.col(b)
+    chosen = starts.select(F.col(node).alias("x")).where("x is not null").distinct()
+    both = edges.select(x.alias("x"), y.alias("y"), F.lit(False).alias("own")).unionAll(edges.select(y.alias("x"), x.alias("y"), F.lit(False).alias("own")))
+    rows = both.unionAll(chosen.select("x", F.lit(None).cast(both.schema["y"].dataType).alias("y"), F.lit(True).alias("own"))).repartition("x")
+    met = F.expr("collect_set(y) filter (where not own)")
+    near = F.when(F.expr("bool_or(y is null and not own)"), F.array_append(met, F.lit(None))).otherwise(met)  # a set leaves out nulls
+    lists = cut(rows.groupBy("x").agg(near.alias("near"), F.bool_or("own").alias("chosen")), "links")
+    seen = lists.where("chosen").select(F.col("x").alias("start"), F.col("x").alias("node"), F.lit(0).alias("hop"))
+    if hops < 1:
+        return seen
+    first = lists.where("chosen").select(F.col("x").alias("start"), F.explode("near").alias("node"), F.lit(1).alias("hop"))
+    seen = seen.unionAll(first.where(~F.col("node").eqNullSafe(F.col("start"))))
+    if hops < 2:
+        return seen
+    blocks = _blocks(lists)
+    frontier = blocks
+    for hop in range(2, hops + 1):
+        fresh = _reached(frontier, blocks).select("start", F.explode("nodes").alias("node"), F.lit(hop).alias("hop"))
+        if hop > 2:  # one hop back and the start were left out already
+            known = seen.select(F.col("start").alias("_start"), F.col("node").alias("_node"))
+            fresh = fresh.join(known, (F.col("start") == F.col("_start")) & F.col("node").eqNullSafe(F.col("_node")), "left_anti")
+        if hop < hops:
+            fresh = cut(fresh, "hops")
+            frontier = _blocks(fresh.groupBy(F.col("start").alias("x")).agg(F.collect_list("node").alias("near"), F.lit(True).alias("chosen")))
+        seen = seen.unionAll(fresh)
     return seen
 
 
+def _blocks(lists: DataFrame) -> DataFrame:
+    """A row for each block of the nodes x: its nodes, all their neighbours (far) once, and places in far and in nodes:
+    that of each node's neighbours, from its offset (out_at), and of each neighbour's nodes (in_at)."""
+    links = lists.agg(F.sum(F.size("near"))).first()[0] or 0
+    n = int(max(-(-links // BLOCK_LINKS), min(8, -(-links // 4096)), 1))
+    kind = lists.schema["x"].dataType.simpleString()
+
+    def pack(t: pa.Table) -> pa.Table:
+        near = pa.concat_arrays(t["near"].chunks)
+        coded = near.flatten().dictionary_encode(null_encoding="encode")
+        out, counts = coded.indices.to_numpy(), near.value_lengths().to_numpy()
+        whole = lambda v: pa.array(v, pa.int32())
+        columns = {
+            "nodes": pa.concat_arrays(t["x"].chunks), "chosen": pa.concat_arrays(t["chosen"].chunks), "far": coded.dictionary,
+            "out_at": whole(np.append(0, np.cumsum(counts))), "out": whole(out),
+            "in_at": whole(np.append(0, np.cumsum(np.bincount(out, minlength=len(coded.dictionary))))), "in": whole(np.repeat(np.arange(len(counts)), counts)[np.argsort(out, kind="stable")]),
+        }
+        return pa.table({k: pa.ListArray.from_arrays([0, len(v)], v) for k, v in columns.items()})
+
+    rows = lists.withColumn("block", F.pmod(F.xxhash64("x"), F.lit(n)).cast("int")).repartitionById(n, "block")
+    schema = f"nodes array<{kind}>, chosen array<boolean>, far array<{kind}>, out_at array<int>, out array<int>, in_at array<int>, in array<int>"
+    return cut(rows.groupBy("block").applyInArrow(pack, schema), "blocks")
+
+
+def _reached(frontier: DataFrame, blocks: DataFrame) -> DataFrame:
+    """start and nodes: what the links of blocks reach of one block from the neighbours of a chosen node of frontier, without
+    the node and these neighbours. Links go both ways, so the neighbours of a node are those it is reached from."""
+    kind = blocks.schema["nodes"].dataType.elementType.simpleString()
+    left = frontier.select(F.col("nodes").alias("starts"), "chosen", F.col("far").alias("mids"), "out_at", "out")
+    right = blocks.select("nodes", "far", "in_at", "in")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                for starts, at, nodes in _two_links(*(batch.column(c)[k].values for c in batch.schema.names)):
+                    yield pa.RecordBatch.from_arrays([starts, pa.ListArray.from_arrays(at, nodes)], names=["start", "nodes"])
+
+    return left.hint("shuffle_replicate_nl").crossJoin(right).mapInArrow(run, f"start {kind}, nodes array<{kind}>")
+
+
+def _two_links(starts, chosen, mids, out_at, out, nodes, far, in_at, in_) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """Starts, offsets and nodes for the paths start - mid - node, by chunks of starts."""
+    place = lambda x, among: pc.fill_null(pc.index_in(x, value_set=among), -1).to_numpy()
+    out_at, out, in_at, in_ = (v.to_numpy() for v in (out_at, out, in_at, in_))
+    via = np.where(pc.is_null(mids).to_numpy(zero_copy_only=False), -1, place(mids, far))  # a null leads nowhere
+    steps = np.where(via < 0, 0, in_at[via + 1] - in_at[via]) if len(far) else np.zeros(len(via), np.int64)
+    known, own = place(mids, nodes), place(starts, nodes)
+    paths = np.append(0, np.cumsum(steps[out]))[out_at]  # in front of each start
+    wanted = chosen.to_numpy(zero_copy_only=False)
+    low = 0
+    while low < len(starts):
+        high = max(low + 1, int(np.searchsorted(paths, paths[low] + CHUNK_PATHS, "right")) - 1)
+        picked = np.flatnonzero(wanted[low:high]) + low
+        counts = out_at[picked + 1] - out_at[picked]
+        edges = np.repeat(out_at[picked] - np.append(0, np.cumsum(counts))[:-1], counts) + np.arange(counts.sum())
+        row, mid = np.repeat(picked, counts).astype(np.int64) << 32, out[edges]
+        n = steps[mid]
+        ends = np.repeat(in_at[via[mid]] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+        pairs = np.repeat(row, n) | in_[ends]
+        pairs.sort()
+        fresh = np.ones(len(pairs), bool)
+        fresh[1:] = pairs[1:] != pairs[:-1]
+        pairs = pairs[fresh]
+        before = np.concatenate([(row | known[mid])[known[mid] >= 0], (picked.astype(np.int64) << 32 | own[picked])[own[picked] >= 0]])
+        at = np.searchsorted(pairs, before)
+        at = at[at < len(pairs)] if not len(pairs) else at[pairs[np.minimum(at, len(pairs) - 1)] == before]
+        pairs = np.delete(pairs, at)
+        if len(pairs):
+            row = (pairs >> 32).astype(np.int32)
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            yield starts.take(pa.array(row[first])), pa.array(np.append(first, len(row)), pa.int32()), nodes.take(pa.array(pairs.astype(np.int32)))
+        low = high
+
+
 def pairs_within(df: DataFrame, group: str, item: str, block: int = 512) -> DataFrame:
     """a < b: each pair of different items that some group holds together, once.
 
