@@ -1,7 +1,7 @@
 """Personal information in free text: found, and replaced by typed placeholders (problem 9).
 
 E-mail addresses, phone numbers, identity numbers and street addresses are found by their forms; names by a gazetteer of
-given and family names, fitted to the header lines (`Author: Given Family <mail>`) of a bounded sample of documents.
+given and family names, fitted to the header lines (`Author: Given Family <mail>`) of all documents.
 
 Every span found gets its placeholder in the same pass, and placeholders keep equal values linked over documents: a phone
 or identity number is read, and counts only if it is valid; its free parts are permuted by a keyed Feistel network within
@@ -19,12 +19,12 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldloom.llm.numbers import numbers, pseudonym, read
 
-SAMPLE_DOCUMENTS = 1_000_000  # documents whose header lines the gazetteer is fitted to
 GIVEN_FAMILIES = 2  # family names with which a word must stand to count as a given name
 
 LETTER = "A-Za-zÀ-ÖØ-öø-žẞ"
@@ -90,22 +90,25 @@ def _stems(family: str) -> list[str]:
     return [p.lower() for p in re.split("-", bare) if len(p) > 2]
 
 
-def fit_gazetteer(df: DataFrame, doc_id: str, text: str, sample: int | None = SAMPLE_DOCUMENTS, families: int = GIVEN_FAMILIES) -> Gazetteer:
-    """Given and family names of the header lines of at most about `sample` documents, chosen by a hash of doc_id.
+def fit_gazetteer(df: DataFrame, doc_id: str, text: str, sample: None = None, families: int = GIVEN_FAMILIES) -> Gazetteer:
+    """Given and family names of the header lines of all documents; former calls name sample, which can only be None.
 
     A word counts as a given name if it stands first with at least `families` family names; then the rest of the name
-    is a family name. Sample and so gazetteer are bounded; detection covers all documents. With sample=None it is fitted
-    to all documents, and grows with the names in them.
+    is a family name. What comes to the driver, and is broadcast, is each given and each family name once, so it grows with
+    the different names and not with the documents.
     """
-    every = max(1, -(-df.count() // sample)) if sample else 1
-    chosen = df if every == 1 else df.where(F.pmod(F.xxhash64(doc_id), F.lit(every)) == 0)
-    names = chosen.select(F.explode(F.regexp_extract_all(text, F.lit(HEADER_NAME), 1)).alias("name")).where("name like '% %'")
+    if sample is not None:
+        raise ValueError("the gazetteer is fitted to all documents")
+    names = df.select(F.explode(F.regexp_extract_all(text, F.lit(HEADER_NAME), 1)).alias("name")).where("name like '% %'")
     name = F.when(F.col("name").contains(", "), F.concat_ws(" ", F.split_part("name", F.lit(", "), F.lit(2)), F.split_part("name", F.lit(", "), F.lit(1)))).otherwise(F.col("name"))
     parts = names.select(F.lower(F.btrim(name)).alias("name")).distinct()
     parts = parts.select(F.substring_index("name", " ", 1).alias("given"), F.regexp_replace("name", r"^\S+ (?:\p{L}\. )*", "").alias("family"))
-    by_given = parts.groupBy("given").agg(F.collect_set("family").alias("families")).where(F.size("families") >= families)
-    rows = by_given.where(r"given rlike '^[\\p{L}-]{3,}$'").collect()
-    return Gazetteer(frozenset(r["given"] for r in rows), frozenset(s for r in rows for f in r["families"] for s in _stems(f)))
+    parts = parts.where(r"given rlike '^[\\p{L}-]{3,}$'").distinct()
+    counted = parts.withColumn("n", F.count("*").over(Window.partitionBy("given"))).where(F.col("n") >= families)
+    words = counted.select(F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col("given").alias("word")), F.struct(F.lit(False).alias("first"), F.col("family").alias("word")))).alias("x"))
+    found = words.select("x.*").distinct().toArrow()
+    given, family = (found.filter(keep)["word"].to_pylist() for keep in (found["first"], pc.invert(found["first"])))
+    return Gazetteer(frozenset(given), frozenset(s for f in family for s in _stems(f)))
 
 
 def _cased(text: str) -> int:
@@ -333,7 +336,7 @@ def mask_pii(df: DataFrame, doc_id: str, text: str, key: bytes, gazetteer: Gazet
         raise ValueError("the key must hold 16 to 64 bytes")
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     fitted = gazetteer if gazetteer is not None else fit_gazetteer(rows, "doc_id", "text")
-    shared = df.sparkSession.sparkContext.broadcast(fitted)  # bounded by the sample
+    shared = df.sparkSession.sparkContext.broadcast(fitted)  # different names, not documents
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)

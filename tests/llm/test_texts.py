@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from foldloom.llm.packing import pack_corpus, pack_sizes
 from foldloom.llm.pii import Finder, Gazetteer, fit_gazetteer, mask_pii
@@ -131,3 +132,12 @@ def test_mask(spark):
     with pytest.raises(TypeError):
         mask_pii(df, "doc_id", "text")
     assert fit_gazetteer(df, "doc_id", "text", sample=None).given == {"ida"}
+
+
+def test_gazetteer_of_all_documents(spark):
+    named = F.when(F.col("id") < 40, F.concat(F.lit("Author: Ida Berg"), F.translate("id", "0123456789", "abcdefghij"), F.lit(" <i@x.test>")))
+    df = spark.range(1_000_001).select(F.col("id").alias("doc_id"), named.alias("text"))
+    fitted = fit_gazetteer(df, "doc_id", "text")
+    assert fitted.given == {"ida"} and len(fitted.family) == 40
+    with pytest.raises(ValueError):
+        fit_gazetteer(df, "doc_id", "text", sample=100)
